@@ -1,0 +1 @@
+"""quire.plans"""
