@@ -52,16 +52,16 @@ def distinctive_terms(
     """
     tc = term_counts(df, id_col, text, pattern)
     stats = tc.groupBy("term").agg(F.sum("tf").alias("Y"), F.count("*").alias("df"))
-    total = stats.agg(F.sum("Y").alias("N"))
+    total = stats.agg(F.sum("Y").alias("total"))
     keep = F.col("df") >= min_df
     if max_df is not None:
         keep &= F.col("df") <= max_df
     j = tc.where(F.col("tf") >= min_tf).join(stats.where(keep), "term").join(F.broadcast(total))
     a = F.col("Y") * F.lit(float(prior_weight))
-    big = F.col("N") * F.lit(float(prior_weight))
+    big = F.col("total") * F.lit(float(prior_weight))
     half = F.lit(0.5)
     own = F.log((F.col("tf") + a) / F.greatest(F.col("n") + big - F.col("tf") - a, half))
     rest_y = F.col("Y") - F.col("tf") + a
-    rest = F.log(rest_y / F.greatest(F.col("N") - F.col("n") + big - rest_y, half))
+    rest = F.log(rest_y / F.greatest(F.col("total") - F.col("n") + big - rest_y, half))
     z = (own - rest) / F.sqrt(1 / (F.col("tf") + a) + 1 / rest_y)
     return j.select("id", "term", "tf", "df", z.alias("z"))

@@ -1,0 +1,32 @@
+"""The registered queries answer over whole tables."""
+
+import pytest
+
+import __spark_entry__ as e
+
+SF = "/root/testdata/sf0.001"
+COLUMNS = {
+    "p5_found": ["card_id", "term"],
+    "p6_found": ["chapter_id", "boundary"],
+    "p7_found": ["field", "row_id", "kind"],
+    "p8_found": ["doc_id", "item_id"],
+}
+
+
+def test_entry_has_rows(spark):
+    assert e.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", COLUMNS)
+def test_found_columns(spark, name):
+    assert e.queries()[name](spark, SF).columns == COLUMNS[name]
+
+
+def test_every_operator_is_registered():
+    assert {n.split("_")[0] for n in e.queries()} >= {"p4", "p5", "p6", "p7", "p8"}
+
+
+def test_batches_hold_every_chapter(spark):
+    got = e.queries()["p4_batches"](spark, SF).toPandas()
+    assert set(got["chapter_id"]) == {r[0] for r in spark.read.parquet(f"{SF}/chapters.parquet").select("chapter_id").collect()}
+    assert got.groupby("batch_id")["size"].sum().max() <= 150_000
