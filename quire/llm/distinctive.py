@@ -10,16 +10,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LATIN_TERM = r"\p{IsLatin}{4,}"
-ANY_TERM = r"\p{IsLatin}+|\p{IsHan}{2}|(?=(\p{IsHan}\p{IsHan}))"
+# Words of any script but Han; every two neighbouring Han characters; Han characters standing alone.
+WORD, HAN_PAIR, HAN_ALONE = r"[\p{L}\p{M}&&[^\p{IsHan}]]+", r"(?=(\p{IsHan}{2}))", r"(?<!\p{IsHan})\p{IsHan}(?!\p{IsHan})"
 
 
-def term_counts(df: DataFrame, id_col: str, text: Column, pattern: str = LATIN_TERM) -> DataFrame:
+def any_terms(text: Column) -> Column:
+    """All terms of a text: words, and overlapping pairs of Han characters at every offset."""
+    low = F.lower(text)
+    return F.concat(*(F.regexp_extract_all(low, F.lit(p), F.lit(g)) for p, g in ((WORD, 0), (HAN_PAIR, 1), (HAN_ALONE, 0))))
+
+
+def term_counts(df: DataFrame, id_col: str, text: Column, pattern: str | None = LATIN_TERM) -> DataFrame:
     """(id, term, tf, n): lower-case terms of each row's text, their count and the row's total.
 
+    Terms are what matches ``pattern``; with None, all of ``any_terms``.
     Rows whose text is null, empty or without a term give no row. Ids must be unique; repeated
     ids count as one record.
     """
-    words = df.select(F.col(id_col).alias("id"), F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0)).alias("w")).where(F.size("w") > 0)
+    terms = any_terms(text) if pattern is None else F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))
+    words = df.select(F.col(id_col).alias("id"), terms.alias("w")).where(F.size("w") > 0)
     return (
         words.select("id", F.size("w").alias("n"), F.explode("w").alias("term"))
         .groupBy("id", "term")
@@ -31,7 +40,7 @@ def distinctive_terms(
     df: DataFrame,
     id_col: str,
     text: Column,
-    pattern: str = LATIN_TERM,
+    pattern: str | None = LATIN_TERM,
     min_tf: int = 1,
     min_df: int = 1,
     max_df: int | None = None,
