@@ -8,6 +8,7 @@ come out in a logarithmic number of joins.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,11 +27,13 @@ _newline = re.compile(r"\n")
 _sentence = re.compile(r"[.!?。！？]")
 
 
-def boundaries_of(text: str, step: int) -> tuple[list[int], list[int]]:
+def boundaries_of(text: str, limit: int, overlap: int, min_fill: float) -> tuple[list[int], list[int]]:
     """Positions where ``text`` may be cut and the best level of each.
 
-    0 and the end are always there; where two neighbours are more than ``step`` apart, hard cuts
-    are set every ``step`` characters, so that every text can be cut.
+    0 and the end are always there. Where two neighbours are further apart than a piece after the
+    first may be long, a cut between them can't be avoided: hard cuts are set a full piece after
+    the first of them and after each boundary that lies at most ``min_fill`` before it, and every
+    full piece from there on, so that none of these need make a short piece.
     """
     at: dict[int, int] = {}
     for m in _sentence.finditer(text):
@@ -40,31 +43,37 @@ def boundaries_of(text: str, step: int) -> tuple[list[int], list[int]]:
     for m in _heading.finditer(text):
         at[m.start()] = HEADING
     at[0] = at[len(text)] = END
-    pos = sorted(at)
-    for a, b in zip(pos, pos[1:]):
-        for p in range(a + step, b, step):
-            at[p] = HARD
+    step, least = limit - overlap, int(min_fill * limit)
+    natural, pos = sorted(at), []
+    for a, b in zip(natural, natural[1:]):
+        pos.append(a)
+        if b - a > step:
+            hard: set[int] = set()
+            for p in pos[bisect_left(pos, a - least) :]:
+                hard.update(m for m in range(p + (step if p else limit), b, step) if m > a)
+            at.update(dict.fromkeys(hard, HARD))
+            pos += sorted(hard)
     pos = sorted(at)
     return pos, [at[p] for p in pos]
 
 
-def _boundaries_udf(step: int):
+def _boundaries_udf(limit: int, overlap: int, min_fill: float):
     @F.pandas_udf(T.StructType().add("pos", T.ArrayType(T.IntegerType())).add("level", T.ArrayType(T.IntegerType())))
     def cut(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in texts:
-            got = [boundaries_of(t, step) for t in s]
+            got = [boundaries_of(t, limit, overlap, min_fill) for t in s]
             yield pd.DataFrame({"pos": [a for a, _ in got], "level": [b for _, b in got]})
 
     return cut
 
 
-def boundaries(df: DataFrame, id_col: str, text: str, limit: int, overlap: int) -> DataFrame:
+def boundaries(df: DataFrame, id_col: str, text: str, limit: int, overlap: int, min_fill: float = 0.0) -> DataFrame:
     """(id, pos, level, size) of each item with more than ``limit`` code points.
 
     Items that fit, and null texts, never reach Python. An id given by several equal rows counts once.
     """
     big = df.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where(F.length("text") > limit)
-    cut = big.select("id", F.length("text").alias("size"), _boundaries_udf(limit - overlap)("text").alias("b"))
+    cut = big.select("id", F.length("text").alias("size"), _boundaries_udf(limit, overlap, min_fill)("text").alias("b"))
     return cut.select("id", "size", F.inline(F.arrays_zip(F.col("b.pos").alias("pos"), F.col("b.level").alias("level")))).repartition("id").distinct()
 
 
@@ -89,8 +98,8 @@ def successors(b: DataFrame, keys: list[str], limit: int, overlap: int, min_fill
     )
     least = F.lit(int(min_fill * limit))
     good = [F.when(F.col(f"s{k}") > F.col("pos") + least, F.col(f"s{k}")) for k in (HEADING, PARAGRAPH, SENTENCE)]
-    any_ = [F.when(F.col(f"s{k}") > F.col("pos"), F.col(f"s{k}")) for k in (HEADING, PARAGRAPH, SENTENCE, HARD)]
-    return t.where("ask = 1").select(*keys, "pos", F.coalesce(F.when(F.col("e") > F.col("pos"), F.col("e")), *good, *any_).alias("succ")).where("succ is not null")
+    any_ = F.greatest(*(F.when(F.col(f"s{k}") > F.col("pos"), F.col(f"s{k}")) for k in (HEADING, PARAGRAPH, SENTENCE, HARD)))
+    return t.where("ask = 1").select(*keys, "pos", F.coalesce(F.when(F.col("e") > F.col("pos"), F.col("e")), *good, any_).alias("succ")).where("succ is not null")
 
 
 def reached(succ: DataFrame, keys: list[str]) -> DataFrame:
@@ -119,13 +128,14 @@ def split_items(df: DataFrame, id_col: str, title: str, text: str, limit: int =
     ``start`` and ``end`` are code points without the overlap, which precedes them in ``content``
     of every piece but the first; so no piece is longer than ``limit`` and the pieces without their
     overlap join to the text. A cut is made at the farthest heading, else line feed, else sentence
-    end that leaves at least ``min_fill`` of the limit, else at the farthest of any level, else
-    inside a sentence. Titles become "title（k/n）"; a null or empty title counts as "（無標題）".
+    end that leaves at least ``min_fill`` of the limit, else at the farthest of any level. Where a
+    cut inside a sentence can't be avoided, it is made a full piece on, not at a boundary near the
+    piece's begin. Titles become "title（k/n）"; a null or empty title counts as "（無標題）".
     Items that fit or have no text give no row.
     """
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be less than limit")
-    b = materialize(boundaries(df, id_col, text, limit, overlap), "bounds")
+    b = materialize(boundaries(df, id_col, text, limit, overlap, min_fill), "bounds")
     cuts = reached(successors(b, ["id"], limit, overlap, min_fill), ["id"])
     w = Window.partitionBy("id").orderBy("pos")
     spans = (
@@ -134,7 +144,7 @@ def split_items(df: DataFrame, id_col: str, title: str, text: str, limit: int =
         .select("id", "start", "end", "piece_no", (F.col("cuts") - 1).cast("int").alias("pieces"))
     )
     src = df.select(F.col(id_col).alias("id"), F.col(title).alias("__title"), F.col(text).alias("__text")).where(F.length("__text") > limit).dropDuplicates(["id"])
-    begin = F.when(F.col("start") > 0, F.col("start") - overlap).otherwise(0)
+    begin = F.greatest(F.col("start") - overlap, F.lit(0))
     name = F.coalesce(F.when(F.trim("__title") != "", F.col("__title")), F.lit("（無標題）"))
     return spans.join(src, "id").select(
         F.col("id").alias(id_col),
