@@ -7,8 +7,10 @@ offsets of the original text.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -27,6 +29,7 @@ INSTRUCTION_ITEMS = 3
 #: Items are read in blocks of at most so many tokens, each with an automaton of its own.
 BLOCK_TOKENS = 2_000_000
 
+_NEAR = sorted(range(-DRIFT, DRIFT + 1), key=abs)
 _tok = re.compile(r"[㐀-䶿一-鿿豈-﫿]|[^\W_㐀-䶿一-鿿豈-﫿]+")
 _sentence = re.compile(r"[^.!?。！？:：]*[.!?。！？:：]+\s*")
 _apostrophe = re.compile("(?<=\\w)['\u2019\u02bc](?=\\w)")
@@ -78,6 +81,16 @@ def blocks(items: dict[int, list[str]]) -> list[dict[int, list[str]]]:
     return out
 
 
+def nearest(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> tuple[int, int]:
+    """The shortest span that holds a place of ``a`` and one of ``b`` that don't overlap."""
+    spans = []
+    for x, y in ((a, b), (b, a)):
+        for start, end in x:
+            if (k := bisect_left(y, (end, 0))) < len(y):
+                spans.append((y[k][1] - start, start, y[k][1]))
+    return min(spans)[1:]
+
+
 class Scanner:
     """The automaton over a block of items; ``scan`` gives the items a text holds."""
 
@@ -123,30 +136,45 @@ class Scanner:
         return out
 
     def held(self, hs: list[tuple[int, int, int]], length: int) -> tuple[float, int, int]:
-        """Share of the item covered by the best one or two runs."""
+        """Share of the item covered by the best one or two runs, 0 if it is under ``min_share``.
+
+        Runs are open by the diagonal (text minus item) they have reached; on one diagonal only the
+        last can go on. Equal parts of the item count once, with all their places in the text; two
+        parts can stand apart if the first place of one ends before the last of the other begins.
+        """
         hs.sort()
         runs: list[list[int]] = []  # text start, text end, item start, item end
+        on: dict[int, list[int]] = {}
         for d, p, n in hs:
-            for r in reversed(runs[-8:]):
+            for g in _NEAR:
                 # goes on with the run: forward in text and item, close, on nearly the same diagonal
-                dt, di = d + n - r[1], p + n - r[3]
-                if dt > 0 and di > 0 and dt <= n + GAP and di <= n + GAP and abs(dt - di) <= DRIFT:
+                if (r := on.get(d - p + g)) and 0 < d + n - r[1] <= n + GAP and 0 < p + n - r[3] <= n + GAP:
+                    del on[d - p + g]
                     r[1], r[3] = d + n, p + n
                     break
             else:
-                runs.append([d, d + n, p, p + n])
-        runs.sort(key=lambda r: r[2] - r[3])
-        best, span = 0, (0, 0)
-        for k, a in enumerate(runs[:20]):
-            if a[3] - a[2] > best:
-                best, span = a[3] - a[2], (a[0], a[1] - 1)
-            for b in runs[k + 1 : 20]:
-                if b[0] < a[1] and a[0] < b[1]:
-                    continue
-                n = (a[3] - a[2]) + (b[3] - b[2]) - max(0, min(a[3], b[3]) - max(a[2], b[2]))
-                if n > best:
-                    best, span = n, (min(a[0], b[0]), max(a[1], b[1]) - 1)
-        return best / length, *span
+                runs.append(r := [d, d + n, p, p + n])
+            on[d - p] = r
+        places = defaultdict(list)
+        for a in runs:
+            places[a[2], a[3]].append((a[0], a[1]))
+        parts = sorted(((e - s, s, e, min(x[1] for x in at), max(x[0] for x in at)) for (s, e), at in places.items()), reverse=True)
+        best, pair = math.ceil(self.min_share * length - 1e-9) - 1, None
+        for k, (n, s, e, first, last) in enumerate(parts):
+            if n > best:
+                best, pair = n, ((s, e), None)
+            if 2 * n <= best:
+                break
+            for m, s2, e2, first2, last2 in parts[k + 1 :]:
+                if n + m <= best:
+                    break
+                both = n + m - max(0, min(e, e2) - max(s, s2))
+                if both > best and (first <= last2 or first2 <= last):
+                    best, pair = both, ((s, e), (s2, e2))
+        if pair is None:
+            return 0.0, 0, 0
+        start, end = min(places[pair[0]]) if pair[1] is None else nearest(sorted(places[pair[0]]), sorted(places[pair[1]]))
+        return best / length, start, end - 1
 
 
 def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, min_share: float = 0.5) -> DataFrame:
