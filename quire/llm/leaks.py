@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .consistent import consistent
+from .consistent import _invisible, consistent
 
 #: Tokens of a window; a CJK character is a token.
 WINDOW = {"word": 5, "han": 8}
@@ -35,24 +35,42 @@ _sentence = re.compile(r"[^.!?。！？:：]*[.!?。！？:：]+\s*")
 _apostrophe = re.compile("(?<=\\w)['\u2019\u02bc](?=\\w)")
 
 
+def _joins(ch: str) -> bool:
+    """Whether normalisation may join the character to the one before it, or drop it."""
+    return unicodedata.category(ch)[0] == "M" or bool(_invisible.match(ch)) or "\u1160" <= ch <= "\u11ff" or unicodedata.combining(unicodedata.normalize("NFKD", ch)[0]) > 0
+
+
 def tokens(text: str) -> list[tuple[str, int, int]]:
-    """Normalised tokens with their offsets in ``text``.
+    """The tokens of ``words`` with their offsets in ``text``.
 
     Case, punctuation, line breaks, quotation marks and look-alike characters make no difference.
+    The normalised text is followed back through clusters (a character and what joins it), which
+    normalise on their own: to the consistent text first, then to its compatibility form.
     """
-    out = []
-    for m in _tok.finditer(text):
-        w = m.group()
-        if not w.isascii():
-            w = unicodedata.normalize("NFKC", consistent(w)[0])
-        out.append((w.lower(), m.start(), m.end()))
-    return out
+    if text.isascii():
+        return [(m.group(), m.start(), m.end()) for m in _tok.finditer(text.lower())]
+    same, kinds = consistent(text)
+    # an accent anywhere composes the whole text; resolving look-alikes keeps the number of characters
+    composed = (lambda x: unicodedata.normalize("NFC", consistent(x)[0])) if kinds & 2 else (lambda x: consistent(x)[0])
+    first = _spans(text, composed)
+    at = [(first[a][0], first[b - 1][1]) for a, b in _spans(same, lambda x: unicodedata.normalize("NFKC", x).lower())]
+    return [(m.group(), at[m.start()][0], at[m.end() - 1][1]) for m in _tok.finditer(normalised(text))]
 
 
-def words(text: str) -> list[str]:
+def _spans(text: str, form) -> list[tuple[int, int]]:
+    """For each character of the text in the form ``form`` gives, the span of the cluster it is from."""
+    starts = [k for k, ch in enumerate(text) if not k or ch.isascii() or not _joins(ch)] + [len(text)]
+    return [(a, b) for a, b in zip(starts, starts[1:]) for _ in form(text[a:b])]
+
+
+def normalised(text: str) -> str:
     if not text.isascii():
         text = unicodedata.normalize("NFKC", consistent(text)[0])
-    return _tok.findall(text.lower())
+    return text.lower()
+
+
+def words(text: str) -> list[str]:
+    return _tok.findall(normalised(text))
 
 
 def passages(items: list[tuple[int, str]]) -> dict[int, list[str]]:
@@ -202,8 +220,7 @@ def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
                 for d, t in zip(pdf["doc_id"], pdf["__text"]):
                     if found := scanner.scan(words(t)):
                         at = tokens(t)
-                        same = len(at) == len(words(t))
-                        rows += [(d, i, s, at[a][1] if same else 0, at[b][2] if same else len(t)) for i, s, a, b in found]
+                        rows += [(d, i, s, at[a][1], at[b][2]) for i, s, a, b in found]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "share", "start", "end"])
 
         part = src.mapInPandas(run, schema)

@@ -2,7 +2,7 @@
 
 import random
 
-from quire.llm.leaks import Scanner
+from quire.llm.leaks import Scanner, tokens, words
 
 ITEM = [f"w{k}" for k in range(100)]
 
@@ -49,3 +49,20 @@ def test_best_pair_is_the_best_of_all():
             at += 1
         want = max((len(set(range(*a)) | set(range(*b))) for a in runs for b in runs), default=0)
         assert (got[0][1] if got else 0) == want / 100
+
+
+def test_offsets_through_normalisation():
+    text = "x​y So­ft café ﬁne Рaper ＡＢ 가가 ｶﾞ 道德 İz end​."
+    got = tokens(text)
+    assert [w for w, _, _ in got] == words(text)
+    assert [text[a:b] for w, a, b in got if w in ("soft", "café", "fine", "paper", "ab", "德", "end")] == ["So­ft", "café", "ﬁne", "Рaper", "ＡＢ", "德", "end​"]
+
+
+def test_tokens_are_the_words_of_any_text():
+    rng = random.Random(2)
+    chars = "ab Z.,\n​­̧́̈éﬁﬀ①½РаοΣς İ가각각ｶﾞﾟ道⼀Ａ　 ẛ̣שׁक़ো"
+    for _ in range(3000):
+        text = "".join(rng.choice(chars) for _ in range(rng.randint(0, 25)))
+        got = tokens(text)
+        assert [w for w, _, _ in got] == words(text)
+        assert all(0 <= a < b <= len(text) for _, a, b in got)
