@@ -32,25 +32,32 @@ def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the setting is unset (tests, one machine) a local folder is used.
+    Only where the setting is unset and the session runs on one machine (tests, the bench) a local
+    folder is used; a cluster without the setting is refused.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if d:
         return d.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return "file://" + os.path.join(tempfile.gettempdir(), f"quire-{os.getuid()}")
 
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session has ended already
+        pass
 
 
 def _clean() -> None:
-    for spark, path in _written:
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session has ended already
-            pass
+    for path, spark in _written.items():
+        _delete(spark, path)
     _written.clear()
 
 
@@ -59,9 +66,20 @@ atexit.register(_clean)
 
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, is columnar and
-    compressed, and survives the loss of any executor. Removed when the program ends."""
+    compressed, and survives the loss of any executor. Removed by ``release`` or when the program
+    ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quire-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables that ``materialize`` wrote and that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "written_to", None)
+        if path in _written:
+            _delete(_written.pop(path), path)
