@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from quire.llm.consistent import consistent_text, found, with_consistent
 from quire.llm.distinctive import distinctive_terms
 from quire.llm.leaks import leaks
+from quire.llm.markup import clean_markup
 from quire.llm.neardup import group_pairs, near_duplicates
 from quire.llm.packing import pack_items
+from quire.llm.scanned import page_repairs, repaired_texts
 from quire.llm.splitting import boundary_levels, split_items
 
 
@@ -30,6 +32,40 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_pairs(p1_groups(spark, sf_dir)).select(F.col("a").alias("card_id_a"), F.col("b").alias("card_id_b"))
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    titles = _read(spark, sf_dir, "books").groupBy("book_id").agg(F.min("title").alias("book_title"))
+    return _read(spark, sf_dir, "md").join(titles, "book_id", "left")
+
+
+def _page_repairs(md: DataFrame) -> DataFrame:
+    return page_repairs(md, "md_id", F.col("content"), F.col("kind") == "pdf", F.col("book_title"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = _page_repairs(_pages(spark, sf_dir))
+    return got.select(F.col("id").alias("md_id"), F.col("line").alias("line_no"), "kind").distinct()
+
+
+def p2_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(md_id, text): every scanned page range in continuous, repaired paragraphs."""
+    md = _pages(spark, sf_dir)
+    return repaired_texts(md.where("kind = 'pdf'"), "md_id", F.col("content"), _page_repairs(md)).withColumnRenamed("id", "md_id")
+
+
+def _markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean_markup(_read(spark, sf_dir, "md").where("kind = 'epub'"), "md_id", F.col("content"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = _markup(spark, sf_dir).select(F.col("id").alias("md_id"), F.explode("residue").alias("r"))
+    return got.select("md_id", "r.line_no", "r.kind")
+
+
+def p3_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(md_id, text): every converted text without markup residue."""
+    return _markup(spark, sf_dir).select(F.col("id").alias("md_id"), "text")
+
+
 def p4_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_items(_read(spark, sf_dir, "chapters"), "chapter_id", F.coalesce(F.length("content"), F.col("char_count")))
 
@@ -79,7 +115,7 @@ def p8_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_groups, p4_batches, p5_found, p5_scores, p6_found, p6_pieces, p7_found, p7_texts, p8_found, p8_places)
+    f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_texts, p3_found, p3_texts, p4_batches, p5_found, p5_scores, p6_found, p6_pieces, p7_found, p7_texts, p8_found, p8_places)
 }
 
 ORACLES: dict[str, str] = {}
