@@ -16,6 +16,8 @@ from quire.llm.packing import pack_items
 from quire.llm.scanned import page_repairs, repaired_texts
 from quire.llm.splitting import boundary_levels, split_items
 
+from quire.llm.subjects import subjects_of
+
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -114,8 +116,18 @@ def p8_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(_read(spark, sf_dir, "documents"), "doc_id", "text", _read(spark, sf_dir, "benchmark"), "item_id", "text")
 
 
+def p10_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, subject, sentences, share): what each document is about, and by how many of its sentences."""
+    docs, labels, categories = (_read(spark, sf_dir, t) for t in ("documents", "labels", "categories"))
+    return subjects_of(docs, "doc_id", F.col("text"), labels, "doc_id", "subject", categories, "category").withColumnRenamed("id", "doc_id")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_subjects(spark, sf_dir).select("doc_id", "subject")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_texts, p3_found, p3_texts, p4_batches, p5_found, p5_scores, p6_found, p6_pieces, p7_found, p7_texts, p8_found, p8_places)
+    f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_texts, p3_found, p3_texts, p4_batches, p5_found, p5_scores, p6_found, p6_pieces, p7_found, p7_texts, p8_found, p8_places, p10_found, p10_subjects)
 }
 
 ORACLES: dict[str, str] = {}
