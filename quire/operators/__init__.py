@@ -1 +1 @@
-"""quire.operators"""
+"""Operators on DataFrames: catalogue, lines and metrics, slicing, notes, matching, lint, page layout."""
