@@ -15,7 +15,6 @@ from quire.llm.neardup import group_pairs, near_duplicates
 from quire.llm.packing import pack_items
 from quire.llm.scanned import page_repairs, repaired_texts
 from quire.llm.splitting import boundary_levels, split_items
-
 from quire.llm.subjects import subjects_of
 
 
@@ -34,24 +33,19 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_pairs(p1_groups(spark, sf_dir)).select(F.col("a").alias("card_id_a"), F.col("b").alias("card_id_b"))
 
 
-def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    titles = _read(spark, sf_dir, "books").groupBy("book_id").agg(F.min("title").alias("book_title"))
-    return _read(spark, sf_dir, "md").join(titles, "book_id", "left")
-
-
-def _page_repairs(md: DataFrame) -> DataFrame:
-    return page_repairs(md, "md_id", F.col("content"), F.col("kind") == "pdf", F.col("book_title"))
+def _page_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    titles = _read(spark, sf_dir, "books").select("book_id", "title")
+    return page_repairs(_read(spark, sf_dir, "md"), "md_id", F.col("content"), F.col("kind") == "pdf", F.col("book_id"), titles)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = _page_repairs(_pages(spark, sf_dir))
-    return got.select(F.col("id").alias("md_id"), F.col("line").alias("line_no"), "kind").distinct()
+    return _page_repairs(spark, sf_dir).select(F.col("id").alias("md_id"), F.col("line").alias("line_no"), "kind").distinct()
 
 
 def p2_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(md_id, text): every scanned page range in continuous, repaired paragraphs."""
-    md = _pages(spark, sf_dir)
-    return repaired_texts(md.where("kind = 'pdf'"), "md_id", F.col("content"), _page_repairs(md)).withColumnRenamed("id", "md_id")
+    pages = _read(spark, sf_dir, "md").where("kind = 'pdf'")
+    return repaired_texts(pages, "md_id", F.col("content"), _page_repairs(spark, sf_dir)).withColumnRenamed("id", "md_id")
 
 
 def _markup(spark: SparkSession, sf_dir: str) -> DataFrame:

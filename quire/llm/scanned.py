@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,8 +36,11 @@ for _s in SHAPES:
         _alike[_c] = _s.replace(_c, "")
 
 LETTER = "A-Za-zÀ-ɏ"
-_word = re.compile(rf"(?:[|!](?=[{LETTER}]))?[{LETTER}0-9]+(?:[|!][{LETTER}0-9]+)*(?:(?<=[{LETTER}])\|)?")
-_compound = re.compile(rf"(?<![{LETTER}0-9-])[{LETTER}]+(?:-[{LETTER}]+)+(?![{LETTER}0-9-])")
+SHAPE = "(?=(.[" + "".join(_alike) + "].))"
+_shape = re.compile(SHAPE)
+WORD = rf"(?:[|!](?=[{LETTER}]))?[{LETTER}0-9]+(?:[|!][{LETTER}0-9]+)*(?:(?<=[{LETTER}])\|)?"
+COMPOUND = rf"(?<![{LETTER}0-9-])[{LETTER}]+(?:-[{LETTER}]+)+(?![{LETTER}0-9-])"
+_word, _compound = re.compile(WORD), re.compile(COMPOUND)
 _number = re.compile(r"(?=.*[0-9])(?=.*[lOI|])[0-9lOI|]{2,}")
 _stray = re.compile(rf"(?=.{{5}})[{LETTER}]*[01569!|][{LETTER}]*")
 _tuc = re.compile(rf"([-‐¬])([{LETTER}|!0-9]+)((?:-[{LETTER}0-9|!]+)*)")  # on the reversed line
@@ -81,11 +85,11 @@ def _digits(s: str) -> int:
     return int("0" + re.sub(r"\D", "", s.translate(str.maketrans("lOI|", "1011"))))
 
 
-def page_lines(lines: list[str], title: str | None) -> dict[int, str]:
+def page_lines(lines: list[str]) -> dict[int, str]:
     """{line index: header or page_no} of one document.
 
     A bare number of four digits is a page number only if a neighbouring page has the number
-    before or after it. A header holds the book's title, a line that recurs in the document, or a
+    before or after it. A header is a line that recurs in the document, one with a page number, or a
     title-like line beside a page number; the document's own title on its first line isn't one.
     """
     out: dict[int, str] = {}
@@ -107,36 +111,36 @@ def page_lines(lines: list[str], title: str | None) -> dict[int, str]:
         if i not in out and len(s) <= 80 and (m := _numbered.fullmatch(s)) and re.search(r"\d", (m[1] or m[4])) and _title_like(m[2] or m[3], 1 << 30):
             parts[i] = fold(m[2] or m[3])
             out[i] = "header"
-    own = fold(title) if title else ""
     seen = Counter([k for i, k in enumerate(keys) if k and i != first and i not in out] + list(parts.values()))
     for i, k in enumerate(keys):
         if not k or i in out or i == first:
             continue
         beside = any(abs(i - p) <= 2 and not any(text[min(i, p) + 1 : max(i, p)]) for p in pages)
-        if k == own or seen[k] >= 2 or beside:
+        if seen[k] >= 2 or beside:
             out[i] = "header"
     return out
 
 
-def scan(text: str, title: str | None, pdf: bool) -> tuple[list, list, list, list]:
-    """(marks, breaks, words, shapes) of a document; lines count from 1.
+def scan(text: str) -> tuple[list, list, list, list, list]:
+    """(marks, breaks, words, shapes, titles) of a page range; lines count from 1.
 
     marks: (line, kind). breaks: (line, mark, joined, hyphened, left, right). words: (line, word,
-    cut, whole): cut > 0 where the word goes on in the next line of text. shapes: (line, prev, c, next) of
-    every ideograph with a look-alike.
+    cut, whole): cut > 0 where the word goes on in the next line of text. shapes: (line, the ideograph and its neighbours) of
+    every ideograph with a look-alike. titles: (line, key) of title-like lines that aren't marked.
     """
     lines = (consistent(text)[0] or "").split("\n")
-    mark = page_lines(lines, title) if pdf else {}
+    mark = page_lines(lines)
     marks = [(i + 1, k) for i, k in sorted(mark.items())]
     breaks, words, shapes = [], [], []
     body = [i for i in range(len(lines)) if i not in mark]
     skips: dict[int, int] = {}
-    run = ""
-    where: list[int] = []
+    flat: list[str] = []
+    begins: list[int] = []
+    at = 0
     for n, i in enumerate(body):
         s = lines[i].rstrip()
         start = skips.get(i, 0)
-        m = _tuc.match(s[::-1]) if pdf and s[-1:] in "-‐¬" else None
+        m = _tuc.match(s[::-1]) if s[-1:] in "-‐¬" else None
         stop = len(s)
         if m:
             nxt = next((k for k in range(n + 1, len(body)) if lines[body[k]].strip()), len(body))
@@ -156,42 +160,67 @@ def scan(text: str, title: str | None, pdf: bool) -> tuple[list, list, list, lis
                     skips[body[nxt]] = g.end()
         words += [(i + 1, w[0], 0) for w in _word.finditer(s, start, stop)]
         words += [(i + 1, w[0], -1) for w in _compound.finditer(s)]
-        t = lines[i].strip()
-        if not t:
-            run, where = "", []
-        for c in t:
-            run, where = run[-2:] + c, where[-2:] + [i + 1]
-            if len(run) == 3 and run[1] in _alike:
-                shapes.append((where[1], run[0], run[1], run[2]))
-    return marks, breaks, words, shapes
-
-
-_SCAN = (
-    "id bigint, pdf boolean, marks array<struct<line int, kind string>>, breaks array<struct<line int, mark string, joined string, hyphened string, left string, right string>>, "
-    "words array<struct<line int, word string, cut int>>, shapes array<struct<line int, prev string, c string, next string>>"
-)
-_SCAN_ARROW = pa.schema([
-    ("id", pa.int64()), ("pdf", pa.bool_()),
-    ("marks", pa.list_(pa.struct([("line", pa.int32()), ("kind", pa.string())]))),
-    ("breaks", pa.list_(pa.struct([("line", pa.int32()), *((c, pa.string()) for c in ("mark", "joined", "hyphened", "left", "right"))]))),
-    ("words", pa.list_(pa.struct([("line", pa.int32()), ("word", pa.string()), ("cut", pa.int32())]))),
-    ("shapes", pa.list_(pa.struct([("line", pa.int32()), *((c, pa.string()) for c in ("prev", "c", "next"))]))),
-])
+        t = lines[i].strip() or "\n"
+        flat.append(t)
+        begins.append(at)
+        at += len(t)
+    for m in _shape.finditer("".join(flat)):
+        shapes.append((body[bisect_right(begins, m.start() + 1) - 1] + 1, m[1]))
+    width = max(map(len, lines), default=0)
+    first = next((i for i, s in enumerate(lines) if s.strip()), -1)
+    titles = [(i + 1, k) for i in body if i != first and _title_like(lines[i], width) and (k := fold(lines[i]))]
+    return marks, breaks, words, shapes, titles
+
+
+_FIELDS = {
+    "marks": (("line", "int"), ("kind", "string")),
+    "breaks": (("line", "int"), ("mark", "string"), ("joined", "string"), ("hyphened", "string"), ("left", "string"), ("right", "string")),
+    "words": (("line", "int"), ("word", "string"), ("cut", "int")),
+    "shapes": (("line", "int"), ("three", "string")),
+    "titles": (("line", "int"), ("key", "string")),
+}
+_SCAN = "id bigint, " + ", ".join(f"{k}_{c} array<{t}>" for k, cs in _FIELDS.items() for c, t in cs)
 
 
 def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A column of arrays for each field: far cheaper to hand over than arrays of structs."""
+    kinds = {"int": pa.list_(pa.int32()), "string": pa.list_(pa.string())}
     for b in batches:
         for lo in range(0, b.num_rows, 64):  # texts may be long: a few at a time
-            part = b.slice(lo, 64).to_pylist()
-            cols: dict[str, list] = {f.name: [] for f in _SCAN_ARROW}
-            for r in part:
-                got = scan(r["text"] or "", r["title"], bool(r["pdf"]))
-                cols["id"].append(r["id"])
-                cols["pdf"].append(bool(r["pdf"]))
-                for (name, rows) in zip(("marks", "breaks", "words", "shapes"), got):
-                    keys = [f.name for f in _SCAN_ARROW.field(name).type.value_type]
-                    cols[name].append([dict(zip(keys, x)) for x in rows])
-            yield pa.RecordBatch.from_pydict(cols, schema=_SCAN_ARROW)
+            part = b.slice(lo, 64)
+            got = [scan(t or "") for t in part.column("text").to_pylist()]
+            cols = {"id": part.column("id")}
+            for k, (name, fields) in enumerate(_FIELDS.items()):
+                for j, (c, t) in enumerate(fields):
+                    cols[f"{name}_{c}"] = pa.array([[x[j] for x in g[k]] for g in got], kinds[t])
+            yield pa.RecordBatch.from_pydict(cols)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(what, item, n, low): the words and look-alike ideographs of texts, counted for each batch."""
+    for b in batches:
+        words: Counter = Counter()
+        shapes: Counter = Counter()
+        for t in b.column("text").to_pylist():
+            if t:
+                words.update(_word.findall(t))
+                words.update(_compound.findall(t))
+                shapes.update(_shape.findall(t))
+        low: Counter = Counter()
+        small: Counter = Counter()
+        for w, n in words.items():
+            low[v := w.lower()] += n
+            if v == w:
+                small[v] += n
+        items = [*low, *shapes]
+        cols = {"what": ["word"] * len(low) + ["shape"] * len(shapes), "item": items, "n": [*low.values(), *shapes.values()], "low": [small[w] for w in low] + [0] * len(shapes)}
+        yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.string() if c in ("what", "item") else pa.int64()) for c, v in cols.items()})
+
+
+def _each(s: DataFrame, name: str) -> DataFrame:
+    """(id, fields...): one row for each entry of a kind."""
+    cols = [f"{name}_{c}" for c, _ in _FIELDS[name]]
+    return s.select("id", F.explode(F.arrays_zip(*cols)).alias("x")).select("id", *(F.col(f"x.{c}").alias(f) for c, (f, _) in zip(cols, _FIELDS[name])))
 
 
 def _drops(w: str, side: int) -> set[tuple[str, str]]:
@@ -267,8 +296,9 @@ def repairs(lexicon: DataFrame) -> DataFrame:
 
 
 def _shape_repairs(shapes: DataFrame) -> DataFrame:
-    """(prev, c, next, repair): ideographs of like shape that the neighbours support far more."""
-    t = materialize(shapes.groupBy("prev", "c", "next").agg(F.count("*").alias("n")), "shapes")
+    """(three, repair) for (three, n): ideographs of like shape that the neighbours support far more."""
+    at = lambda i: F.substring("three", i, 1)
+    t = materialize(shapes.select(at(1).alias("prev"), at(2).alias("c"), at(3).alias("next"), "n").groupBy("prev", "c", "next").agg(F.sum("n").alias("n")), "shapes")
     left = t.groupBy("prev", "c").agg(F.sum("n").alias("l"))
     right = t.groupBy("c", "next").agg(F.sum("n").alias("r"))
     alike = F.create_map(*(x for k, v in _alike.items() for x in (F.lit(k), F.lit(v))))
@@ -281,49 +311,67 @@ def _shape_repairs(shapes: DataFrame) -> DataFrame:
     )
     of = lambda c: F.log(F.coalesce(F.col(c), F.lit(0)) + 0.5)
     score = of("l2") + of("r2") - of("l1") - of("r1")
-    return j.withColumn("score", score).where(F.col("score") >= SHAPE_RATIO).groupBy("prev", "c", "next").agg(F.max_by("g", "score").alias("repair"))
+    return j.withColumn("score", score).where(F.col("score") >= SHAPE_RATIO).groupBy(F.concat("prev", "c", "next").alias("three")).agg(F.max_by(F.concat("prev", "g", "next"), "score").alias("repair"))
 
 
-def page_repairs(df: DataFrame, id_col: str, text: Column, pdf: Column, title: Column) -> DataFrame:
+def page_repairs(df: DataFrame, id_col: str, text: Column, pdf: Column, group: Column, titles: DataFrame | None = None) -> DataFrame:
     """(id, line, kind, word, repair) of every line that needs repair.
 
     kind: broken_word (word: the cut word's first part, repair: the whole word), misread, header or
-    page_no. ``pdf`` tells which rows are pages; the others only add to the lexicon. Null and empty
-    texts have no lines to repair. Ids must be unique; repeated ids count as one document's lines.
+    page_no. ``pdf`` tells which rows are pages; the others only add to the lexicon. ``titles``
+    (group, title) has the titles of the works, which a running header may show; ``group`` is the
+    work of a row. Null and empty texts have no lines to repair. Ids must be unique; repeated ids
+    count as one document's lines.
     """
-    docs = df.select(F.col(id_col).cast("bigint").alias("id"), text.alias("text"), pdf.alias("pdf"), title.cast("string").alias("title"))
-    s = materialize(docs.mapInArrow(_scanned, _SCAN), "scan")
-    pages = s.where("pdf")
-    words = s.select(F.explode("words").alias("w")).where("w.cut <= 0").select(F.lower("w.word").alias("word"), (F.col("w.word") == F.lower("w.word")).cast("long").alias("low"))
-    lexicon = materialize(words.groupBy("word").agg(F.count("*").alias("n"), F.sum("low").alias("low")), "lexicon")
+    docs = df.select(F.col(id_col).cast("bigint").alias("id"), text.alias("text"), F.coalesce(pdf, F.lit(False)).alias("pdf"))
+    s = materialize(docs.where("pdf").select("id", "text").mapInArrow(_scanned, _SCAN), "scan")
+    found = _each(s, "words")
+    other = materialize(docs.where("not pdf").select("text").mapInArrow(_counted, "what string, item string, n bigint, low bigint").groupBy("what", "item").agg(F.sum("n").alias("n"), F.sum("low").alias("low")), "counted")
+    words = found.where("cut <= 0").select(F.lower("word").alias("word"), F.lit(1).cast("long").alias("n"), (F.col("word") == F.lower("word")).cast("long").alias("low"))
+    words = words.unionByName(other.where("what = 'word'").select(F.col("item").alias("word"), "n", "low"))
+    lexicon = materialize(words.groupBy("word").agg(F.sum("n").alias("n"), F.sum("low").alias("low")), "lexicon")
     # words put together from two lines are asked about but are no evidence
-    cut = pages.select(F.explode("words").alias("w")).where("w.cut > 0").select(F.lower("w.word").alias("word")).distinct()
+    cut = found.where("cut > 0").select(F.lower("word").alias("word")).distinct()
     asked = lexicon.unionByName(cut.join(lexicon, "word", "left_anti").select("word", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("low")))
     fixes = materialize(repairs(asked), "repairs")
 
-    b = pages.select("id", F.explode("breaks").alias("b")).select("id", "b.*")
+    b = _each(s, "breaks")
     count = lambda c: lexicon.select(F.col("word").alias(c), F.col("n").alias(f"n_{c}"))
     for c in ("joined", "hyphened", "left", "right"):
         b = b.join(count(c), c, "left").fillna(0, [f"n_{c}"])
     own = (F.col("n_hyphened") > F.col("n_joined")) | ((F.col("n_joined") == 0) & (F.col("n_left") >= 20) & (F.col("n_right") >= 20))
     broken = b.where(F.when(F.col("mark") == "?", F.col("n_joined") >= KNOWN).otherwise((F.col("mark") != "-") | ~own)).select("id", "line", F.lit("broken_word").alias("kind"), F.col("left").alias("word"), F.col("joined").alias("repair"))
 
-    occ = pages.select("id", F.explode("words").alias("w")).select("id", "w.line", "w.word", "w.cut").where("cut >= 0")
+    occ = found.where("cut >= 0").select("id", "line", "word")
     number = F.col("word").rlike(r"^(?=.*[0-9])(?=.*[lOI|])[0-9lOI|]{2,}$")
-    stray = F.col("word").rlike(rf"^(?=.{{5}})[{LETTER}]*[01569!|][{LETTER}]*$") & F.col("word").rlike(r"[01569!|]")
+    stray = F.col("word").rlike(rf"^(?=.{{5}})[{LETTER}]*[01569!|][{LETTER}]*$")
     rare = lexicon.where(F.col("n") < 20).where(F.col("word").rlike(r"[0-9!|]")).select("word")
     odd = occ.where(number | F.col("word").rlike(r"[0-9!|]"))
     plain = occ.join(fixes.withColumnRenamed("word", "low"), F.lower("word") == F.col("low")).where(~number).select("id", "line", "word", "repair")
     numbers = odd.where(number).select("id", "line", "word", F.translate("word", "lOI|", "1011").alias("repair"))
     strays = odd.where(stray & ~number).join(rare.withColumnRenamed("word", "low"), F.lower("word") == F.col("low"), "left_semi").select("id", "line", "word", F.translate("word", "01569!|", "olsbgil").alias("repair"))
-    chars = pages.select("id", F.explode("shapes").alias("x")).select("id", "x.*")
-    all_chars = s.select(F.explode("shapes").alias("x")).select("x.prev", "x.c", "x.next")
-    shapes = chars.join(_shape_repairs(all_chars), ["prev", "c", "next"]).select("id", "line", F.concat("prev", "c", "next").alias("word"), F.concat("prev", "repair", "next").alias("repair"))
+    chars = _each(s, "shapes")
+    all_chars = chars.groupBy("three").agg(F.count("*").alias("n")).unionByName(other.where("what = 'shape'").select(F.col("item").alias("three"), "n"))
+    shapes = chars.join(_shape_repairs(all_chars), "three").select("id", "line", F.col("three").alias("word"), "repair")
     misread = plain.unionByName(numbers).unionByName(strays).unionByName(shapes).select("id", "line", F.lit("misread").alias("kind"), "word", "repair")
-    marks = pages.select("id", F.explode("marks").alias("m")).select("id", "m.line", "m.kind", F.lit(None).cast("string").alias("word"), F.lit(None).cast("string").alias("repair"))
+    none = F.lit(None).cast("string")
+    marks = _each(s, "marks").select("id", "line", "kind", none.alias("word"), none.alias("repair"))
+    if titles is not None:
+        keys = titles.select(*(F.col(c).alias(n) for c, n in zip(titles.columns, ("group", "title")))).mapInArrow(_folded, "group string, key string").distinct()
+        of = df.select(F.col(id_col).cast("bigint").alias("id"), group.cast("string").alias("group")).distinct()
+        named = _each(s, "titles").join(of, "id").join(keys, ["group", "key"], "left_semi").select("id", "line").distinct()
+        marks = marks.unionByName(named.select("id", "line", F.lit("header").alias("kind"), none.alias("word"), none.alias("repair")))
+        misread = misread.join(named, ["id", "line"], "left_anti").select(*misread.columns)
+        broken = broken.join(named, ["id", "line"], "left_anti").select(*broken.columns)
     return marks.unionByName(broken).unionByName(misread)
 
 
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = [(g, k) for g, t in zip(b.column("group").to_pylist(), b.column("title").to_pylist()) if t and (k := fold(t))]
+        yield pa.RecordBatch.from_pydict({"group": pa.array([g for g, _ in rows], pa.string()), "key": pa.array([k for _, k in rows], pa.string())})
+
+
 def _like(word: str, repair: str) -> str:
     """The repair in the capitals of the word it replaces."""
     letters = [c for c in word if c.isalpha()]
