@@ -11,6 +11,7 @@ from quire.llm.consistent import consistent_text, found, with_consistent
 from quire.llm.distinctive import distinctive_terms
 from quire.llm.leaks import leaks
 from quire.llm.markup import clean_markup
+from quire.llm.mixing import Mix, mix
 from quire.llm.neardup import group_pairs, near_duplicates
 from quire.llm.packing import pack_items
 from quire.llm.scanned import page_repairs, repaired_texts
@@ -110,6 +111,20 @@ def p8_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(_read(spark, sf_dir, "documents"), "doc_id", "text", _read(spark, sf_dir, "benchmark"), "item_id", "text")
 
 
+def _mix(spark: SparkSession, sf_dir: str) -> Mix:
+    return mix(_read(spark, sf_dir, "documents"), "doc_id", "source", "text", _read(spark, sf_dir, "mix_targets"))
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, source, n_tokens, repeats, tokens_used): the chosen documents and how often they are used."""
+    return _mix(spark, sf_dir).documents().withColumnRenamed("id", "doc_id")
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, target_share, tokens, actual_share, max_uses)."""
+    return _mix(spark, sf_dir).shares()
+
+
 def p10_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, subject, sentences, share): what each document is about, and by how many of its sentences."""
     docs, labels, categories = (_read(spark, sf_dir, t) for t in ("documents", "labels", "categories"))
@@ -121,7 +136,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_texts, p3_found, p3_texts, p4_batches, p5_found, p5_scores, p6_found, p6_pieces, p7_found, p7_texts, p8_found, p8_places, p10_found, p10_subjects)
+    f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_texts, p3_found, p3_texts, p4_batches, p5_found, p5_scores, p6_found, p6_pieces, p7_found, p7_texts, p8_found, p8_places, p9_mix, p9_shares, p10_found, p10_subjects)
 }
 
 ORACLES: dict[str, str] = {}
