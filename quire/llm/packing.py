@@ -22,6 +22,8 @@ from quire.session import materialize
 GROUPS, LARGE = 24, 1 / 15
 #: Small items of a shard, which one task packs; a row number's bucket holds about as many rows.
 SHARD, BUCKET = 20_000, 100_000
+#: Batches' worth of small items that a shard has at least, and rooms of large batches that it has at most.
+FILLED, ROOMS = 20, 500_000
 #: Ids of batches opened by a shard begin here, far above those of the configurations.
 OPENED = 1 << 40
 
@@ -161,8 +163,8 @@ def pack_items(df: DataFrame, id_col: str, size, capacity: int = 150_000) -> Dat
     are items of their own, which get batches but aren't told apart.
 
     What is collected is the histogram of large sizes, at most ``capacity`` rows whatever the
-    input; small items are packed in shards of about ``SHARD`` rows, and the few batches that
-    shards leave open are packed again together.
+    input; small items are packed in shards, and the batches that shards leave open are packed
+    again in an eighth of the shards until one is left.
     """
     spark = df.sparkSession
     sized = df.select(F.col(id_col).cast("bigint").alias("id"), F.greatest(F.coalesce(size, F.lit(0)), F.lit(0)).cast("int").alias("all"))
@@ -173,8 +175,9 @@ def pack_items(df: DataFrame, id_col: str, size, capacity: int = 150_000) -> Dat
     bar = int(capacity * LARGE)
     large = items.where(F.col("size") > bar)
     hist = large.groupBy("size").count().orderBy(F.desc("size")).toPandas()  # at most capacity - bar rows
-    n_small = items.where(F.col("size") <= bar).count()
-    shards = max(1, math.ceil(n_small / SHARD))
+    n_small, all_small = items.where(F.col("size") <= bar).agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    # a shard has rows for one task, but at least FILLED batches' worth of them
+    shards = max(1, min(math.ceil(n_small / SHARD), int(all_small // (FILLED * capacity))))
     placed = room = None
     if len(hist):
         rounded, members, h = linear_groups(hist["size"].to_numpy(), hist["count"].to_numpy())
@@ -194,16 +197,16 @@ def pack_items(df: DataFrame, id_col: str, size, capacity: int = 150_000) -> Dat
         placed = ranked.join(F.broadcast(table), (ranked["grp"] == table["grp"]) & (F.col("r") >= F.col("lo")) & (F.col("r") < F.col("hi")))
         placed = materialize(placed.select("id", "piece_no", "size", (F.col("first") + F.floor((F.col("r") - F.col("lo")) / F.col("a"))).cast("bigint").alias("batch_id")), "placed")
         room = placed.groupBy("batch_id").agg((F.lit(capacity) - F.sum("size")).cast("int").alias("room"))
+    if room is not None:
+        room = materialize(room.where("room > 0"), "room")
+        shards = max(shards, math.ceil(room.count() / ROOMS))
     small = materialize(_fill(items.where(F.col("size") <= bar), room, capacity, shards, OPENED), "small")
     base = OPENED
     while shards > 1:
-        loose = small.where("under")
+        shards = max(1, shards // 8)  # fewer each time, so it ends
         base += OPENED
-        shards = math.ceil(loose.count() / SHARD) or 1
-        again = _fill(loose, None, capacity, shards, base)
+        again = _fill(small.where("under"), None, capacity, shards, base)
         small = materialize(small.where("not under").unionByName(again), "small")
-        if shards == 1:
-            break
     out = small.select("id", "piece_no", "size", "batch_id")
     if placed is not None:
         out = placed.unionByName(out)
