@@ -15,7 +15,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.distinctive import HAN_PAIR
 from quire.session import materialize, release
 
 #: The most subjects: each is a column of the score tables.
@@ -26,10 +25,12 @@ PRIOR, VERIFIED = 2.0, 0.7
 #: document counts half.
 SEED, EVIDENCE = 5.0, 20.0
 #: Steps of propagation.
-STEPS = 4
+STEPS = 2
 #: A further subject needs this many sentences and this share of those of the main one.
 SENTENCES, SHARE = 2, 0.25
 
+# The blocks of ideographs (ranges are far faster to match than the script property).
+HAN = "㐀-鿿豈-﫿"
 # Quotation marks, opening and closing.
 QUOTED = r"“[^”]*”|「[^」]*」|『[^』]*』|«[^»]*»|\"[^\"]{1,1000}\""
 
@@ -37,22 +38,24 @@ QUOTED = r"“[^”]*”|「[^」]*」|『[^』]*』|«[^»]*»|\"[^\"]{1,1000}\
 def sentences(text: Column) -> Column:
     """The sentences of a text, without quoted lines and passages; wrapped lines are joined."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?m)^[ \t]*>.*$", " ")
-    t = F.regexp_replace(t, r"(?<=[\p{IsHan}，、；：。！？])[ \t]*\r?\n(?=[\p{IsHan}，])", "")
+    t = F.regexp_replace(t, rf"(?<=[{HAN}，、；：。！？])[ \t]*\r?\n(?=[{HAN}，])", "")
     t = F.regexp_replace(t, r"(?<=\p{L})[-‐¬]\r?\n(?=\p{Ll})", "")
     return F.split(F.regexp_replace(t, QUOTED, " "), r"(?<=[.!?])\s+|(?<=[。！？])|\n\s*\n")
 
 
 def terms(text: Column) -> Column:
-    """Distinct terms of a sentence: words of four letters or more, and pairs of ideographs."""
+    """Distinct terms of a sentence, as hashes: words of four letters or more, and pairs of ideographs."""
     low = F.lower(text)
-    return F.array_distinct(F.concat(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{M}&&[^\p{IsHan}]]{4,}"), F.lit(0)), F.regexp_extract_all(low, F.lit(HAN_PAIR), F.lit(1))))
+    words = F.regexp_extract_all(low, F.lit(rf"[\p{{L}}\p{{M}}&&[^{HAN}]]{{4,}}"), F.lit(0))
+    pairs = F.regexp_extract_all(low, F.lit(f"(?=([{HAN}][{HAN}]))"), F.lit(1))
+    return F.array_distinct(F.transform(F.concat(words, pairs), lambda w: F.xxhash64(w)))
 
 
 def _total(cols: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, cols)
 
 
-def _term_scores(pairs: DataFrame, scores: DataFrame, f: list[str]) -> DataFrame:
+def _term_scores(docs: DataFrame, scores: DataFrame, f: list[str]) -> DataFrame:
     """(term, f...): each verified term's weight for each subject; the weights of a document's terms add up.
 
     Scores are balanced first: every subject has the same mass in the collection, so a common
@@ -62,7 +65,8 @@ def _term_scores(pairs: DataFrame, scores: DataFrame, f: list[str]) -> DataFrame
     held = sum(m or 0.0 for m in mass)
     q = 1.0 / len(f)
     even = scores.select("id", *((F.col(c) * F.col("w") * (held * q / m if m else 0.0)).alias(c) for c, m in zip(f, mass)))
-    s = pairs.join(even, "id").groupBy("term").agg(*(F.sum(c).alias(c) for c in f), F.count("*").alias("df")).where("df > 1")
+    # documents meet their scores before their terms are spread out, so only term sums are shuffled
+    s = docs.select("id", "terms").join(even, "id").select(F.explode("terms").alias("term"), *f).groupBy("term").agg(*(F.sum(c).alias(c) for c in f), F.count("*").alias("df")).where("df > 1")
     n = _total([F.col(c) for c in f])
     p = s.select("term", *(((F.col(c) + PRIOR * q) / (n + PRIOR)).alias(c) for c in f))
     told = p.withColumn("tells", _total([F.col(c) * F.log(F.col(c) / q) for c in f])).where(F.col("tells") >= VERIFIED)
@@ -84,17 +88,16 @@ def subjects_of(df: DataFrame, id_col: str, text: Column, labels: DataFrame, lab
     f = [f"f{i}" for i in range(len(names))]
     if not names:
         return df.sparkSession.createDataFrame([], "id bigint, subject string, sentences bigint, share double")
-    docs = df.select(F.col(id_col).cast("bigint").alias("id"), text.alias("text"))
-    sents = materialize(docs.select("id", F.posexplode(sentences(F.col("text"))).alias("k", "s")).select("id", "k", terms(F.col("s")).alias("terms")).where(F.size("terms") > 0), "sentences")
-    pairs = materialize(sents.select("id", F.explode("terms").alias("term")).distinct(), "pairs")
+    docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.transform(sentences(text), terms).alias("sentences"))
+    docs = materialize(docs.withColumn("terms", F.array_distinct(F.flatten("sentences"))).where(F.size("terms") > 0), "sentences")
     given = labels.select(F.col(label_id).cast("bigint").alias("id"), F.col(label).alias("subject")).where(F.col("subject").isin(names)).distinct()
     n = F.sum(F.lit(1.0))
     seeds = materialize(given.groupBy("id").agg(*((F.sum(F.when(F.col("subject") == s, 1.0).otherwise(0.0)) / n).alias(c) for s, c in zip(names, f))), "seeds")
     seeds = seeds.withColumn("w", F.lit(1.0))
     scores, old = seeds, None
     for _ in range(steps):
-        weights = materialize(_term_scores(pairs, scores, f), "terms")
-        got = pairs.join(weights, "term").groupBy("id").agg(*(F.sum(c).alias(c) for c in f))
+        weights = materialize(_term_scores(docs, scores, f), "terms")
+        got = docs.select("id", F.explode("terms").alias("term")).join(weights, "term").groupBy("id").agg(*(F.sum(c).alias(c) for c in f))
         n, n2 = _total([F.col(c) for c in f]), _total([F.col(c) * F.col(c) for c in f])
         # weak traces of other subjects fade, strong ones stay; thin evidence counts less
         spread = got.where(n > 0).select("id", *((F.col(c) * F.col(c) / n2 * n / (n + EVIDENCE)).alias(c) for c in f), F.lit(1.0).alias("w"))
@@ -103,8 +106,9 @@ def subjects_of(df: DataFrame, id_col: str, text: Column, labels: DataFrame, lab
         if old is not None:
             release(old)
         scores = old = new
-    weights = materialize(_term_scores(pairs, scores, f), "terms")
-    votes = sents.select("id", "k", F.explode("terms").alias("term")).join(weights, "term").groupBy("id", "k").agg(*(F.sum(c).alias(c) for c in f))
+    weights = materialize(_term_scores(docs, scores, f), "terms")
+    each = docs.select("id", F.posexplode("sentences").alias("k", "terms"))
+    votes = each.select("id", "k", F.explode("terms").alias("term")).join(weights, "term").groupBy("id", "k").agg(*(F.sum(c).alias(c) for c in f))
     top = F.greatest(*(F.col(c) for c in f)) if len(f) > 1 else F.col(f[0])
     told = votes.where(top > 0).select("id", F.coalesce(*(F.when(F.col(c) == top, F.lit(s)) for s, c in zip(names, f))).alias("subject"), (top / _total([F.col(c) for c in f])).alias("part"), top.alias("strength"))
     told = told.where("part >= 0.5")
