@@ -60,7 +60,8 @@ def letters_only(c: Column) -> Column:
 
 def match_key(c: Column) -> Column:
     """The key for comparing cards: lower case, without quotation marks of lines and source tags,
-    letters and numbers only. Compose the text first (``nfkc``)."""
+    letters and numbers only. Compose the text first (``nfkc``); composing turns a tag's full-width
+    parentheses into plain ones, and such a tag stays part of the key."""
     t = F.regexp_replace(F.lower(c), r"(?m)^[\s　]*>\s?", "")
     return letters_and_digits(F.regexp_replace(t, r"（\[\[.*?\]\]）", ""))
 

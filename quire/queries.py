@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators import catalog, lines, lint, matching, notes, slicing
-from quire.operators.rows import descending, first_of, top
+from quire.operators.rows import descending, first_of
+from quire.streaming import log as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -369,6 +370,21 @@ def activity_details(spark, sf_dir):
     return catalog.details(log.withColumn("details", whole), {"chapters": "bigint", "category": "string"}).select("log_id", F.coalesce("chapters", F.lit(-1)).alias("chapters"), "category")
 
 
+@query(f"SELECT date_trunc('day', ts) AS start, lower(action) AS action, count(*) AS n FROM {_LOG} GROUP BY 1, 2")
+def log_windows(spark, sf_dir):
+    """Entries by day and action; the same plan runs on a stream."""
+    w = stream.windows(_log(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")))
+    return w.select(F.col("start").cast("timestamp_ntz").alias("start"), "action", "n")
+
+
+@query(f"""SELECT book_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n FROM (SELECT *, sum(brk) OVER (PARTITION BY book_id ORDER BY ts, log_id) AS s FROM (
+  SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY book_id ORDER BY ts, log_id) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS brk FROM {_LOG} WHERE book_id IS NOT NULL)) GROUP BY book_id, s""")
+def log_sessions(spark, sf_dir):
+    """Runs of work on every book, parted by six quiet hours."""
+    s = stream.sessions(_log(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")), "6 hours")
+    return s.select("book_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
 # ---- matching
 
 

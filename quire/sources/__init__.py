@@ -1 +1 @@
-"""quire.sources"""
+"""Reading books, notes and logs, and writing what comes of them."""

@@ -1 +1 @@
-"""quire.streaming"""
+"""The activity log as a stream."""
