@@ -10,8 +10,11 @@ What a document is about is then decided by its own sentences, outside quoted pa
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,20 +38,41 @@ HAN = "㐀-鿿豈-﫿"
 QUOTED = r"“[^”]*”|「[^」]*」|『[^』]*』|«[^»]*»|\"[^\"]{1,1000}\""
 
 
-def sentences(text: Column) -> Column:
+_quoted_line = re.compile(r"^[ \t]*>.*$", re.M)
+_wrapped = re.compile(rf"(?<=[{HAN}，、；：。！？])[ \t]*\r?\n(?=[{HAN}，])")
+_hyphened = re.compile(r"(?<=[^\W\d_])[-‐¬]\r?\n(?=[^\W\d_])")
+_quoted = re.compile(QUOTED)
+_end = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\n\s*\n")
+_word = re.compile(rf"[^\W\d_{HAN}]{{4,}}")
+_han = re.compile(rf"[{HAN}]{{2,}}")
+
+
+def sentences(text: str) -> list[str]:
     """The sentences of a text, without quoted lines and passages; wrapped lines are joined."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?m)^[ \t]*>.*$", " ")
-    t = F.regexp_replace(t, rf"(?<=[{HAN}，、；：。！？])[ \t]*\r?\n(?=[{HAN}，])", "")
-    t = F.regexp_replace(t, r"(?<=\p{L})[-‐¬]\r?\n(?=\p{Ll})", "")
-    return F.split(F.regexp_replace(t, QUOTED, " "), r"(?<=[.!?])\s+|(?<=[。！？])|\n\s*\n")
+    t = text
+    if ">" in t:
+        t = _quoted_line.sub(" ", t)
+    if "\n" in t:
+        t = _hyphened.sub("", _wrapped.sub("", t))
+    return _end.split(_quoted.sub(" ", t))
+
+
+def terms(sentence: str) -> list[str]:
+    """Distinct terms of a sentence: words of four letters or more, and pairs of ideographs."""
+    low = sentence.lower()
+    out = dict.fromkeys(_word.findall(low))
+    for run in _han.findall(low):
+        out.update(dict.fromkeys(map(str.__add__, run, run[1:])))
+    return list(out)
 
 
-def terms(text: Column) -> Column:
-    """Distinct terms of a sentence, as hashes: words of four letters or more, and pairs of ideographs."""
-    low = F.lower(text)
-    words = F.regexp_extract_all(low, F.lit(rf"[\p{{L}}\p{{M}}&&[^{HAN}]]{{4,}}"), F.lit(0))
-    pairs = F.regexp_extract_all(low, F.lit(f"(?=([{HAN}][{HAN}]))"), F.lit(1))
-    return F.array_distinct(F.transform(F.concat(words, pairs), lambda w: F.xxhash64(w)))
+def _terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("id", pa.int64()), ("sentences", pa.list_(pa.list_(pa.string())))])
+    for b in batches:
+        for lo in range(0, b.num_rows, 256):
+            part = b.slice(lo, 256)
+            got = [[w for s in sentences(t) if (w := terms(s))] if t else [] for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(got, schema.field("sentences").type)], schema=schema)
 
 
 def _total(cols: list[Column]) -> Column:
@@ -88,7 +112,8 @@ def subjects_of(df: DataFrame, id_col: str, text: Column, labels: DataFrame, lab
     f = [f"f{i}" for i in range(len(names))]
     if not names:
         return df.sparkSession.createDataFrame([], "id bigint, subject string, sentences bigint, share double")
-    docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.transform(sentences(text), terms).alias("sentences"))
+    docs = df.select(F.col(id_col).cast("bigint").alias("id"), text.alias("text")).mapInArrow(_terms_of, "id bigint, sentences array<array<string>>")
+    docs = docs.select("id", F.transform("sentences", lambda s: F.transform(s, lambda w: F.xxhash64(w))).alias("sentences"))
     docs = materialize(docs.withColumn("terms", F.array_distinct(F.flatten("sentences"))).where(F.size("terms") > 0), "sentences")
     given = labels.select(F.col(label_id).cast("bigint").alias("id"), F.col(label).alias("subject")).where(F.col("subject").isin(names)).distinct()
     n = F.sum(F.lit(1.0))
