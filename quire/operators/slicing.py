@@ -43,6 +43,14 @@ def is_back_matter(title: str | None, place: float) -> bool:
     return plain in BACK_ENGLISH or bool(_back.fullmatch(re.sub(r"[\s∣|｜【】\[\]（）()]", "", title)))
 
 
+def back_matter(title: Column, place: Column) -> Column:
+    """``is_back_matter`` as a native expression."""
+    t = F.coalesce(title, F.lit(""))
+    plain = F.regexp_replace(F.trim(F.regexp_replace(F.regexp_replace(F.lower(t), "[^a-z ]", ""), " +", " ")), "^selected ", "")
+    chinese = F.regexp_replace(t, r"[\s　∣|｜【】\[\]（）()]", "").rlike(f"^{_back.pattern}$")
+    return (place >= 0.5) & (t != "") & (plain.isin(*BACK_ENGLISH) | chinese)
+
+
 def ends_sentence(line: str) -> bool:
     t = _notes_end.sub("", line.strip())
     return not t or t[-1] in SENTENCE_ENDS

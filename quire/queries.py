@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import catalog, lines, lint, matching, notes, slicing
+from quire.operators import catalog, layout, lines, lint, matching, notes, slicing
 from quire.operators.rows import descending, first_of
+from quire.sources import files
 from quire.streaming import log as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -267,6 +268,42 @@ def shared_card_upsert(spark, sf_dir):
     return notes.upsert_blocks(b.where("card_id % 3 <> 0"), b.where("card_id % 3 = 0"))
 
 
+@query(rf"""SELECT chapter_id, r >= 0.5 AND coalesce(title, '') <> '' AND (regexp_replace(trim(regexp_replace(regexp_replace(lower(coalesce(title, '')), '[^a-z ]', '', 'g'), ' +', ' ', 'g')), '^selected ', '') IN ({", ".join(f"'{w}'" for w in slicing.BACK_ENGLISH)})
+  OR regexp_full_match(regexp_replace(coalesce(title, ''), '[\s　∣|｜【】\[\]（）()]', '', 'g'), '{slicing._back.pattern}')) AS back
+FROM (SELECT chapter_id, CASE WHEN chapter_id % 3 = 0 THEN 'Selected ' || ['Notes', 'Index', 'References'][1 + chapter_id % 2] WHEN chapter_id % 7 = 0 THEN '附錄2：參考書目與注釋' ELSE title END AS title, (chapter_id % 10) / 10.0 AS r FROM chapters)""")
+def back_matter_titles(spark, sf_dir):
+    """Which chapters are back matter, some of them given such titles and all a place in their book."""
+    k = F.col("chapter_id")
+    title = F.when(k % 3 == 0, F.concat(F.lit("Selected "), F.element_at(F.array(*map(F.lit, ("Notes", "Index", "References"))), (k % 2 + 1).cast("int")))).when(k % 7 == 0, "附錄2：參考書目與注釋").otherwise(F.col("title"))
+    return _read(spark, sf_dir, "chapters").select("chapter_id", slicing.back_matter(title, (k % 10) / 10.0).alias("back"))
+
+
+@query(r"""WITH l AS (SELECT md_id AS doc, line, line_no FROM (SELECT md_id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM md WHERE kind = 'pdf' AND content IS NOT NULL)),
+p AS (SELECT doc, (line_no - 1) // 30 + 1 AS page, line_no AS para, line AS text, (line_no - 1) % 30 * 10.0 AS y0, (line_no - 1) % 30 * 10.0 + 10 AS y1 FROM l WHERE trim(line) <> ''),
+r AS (SELECT doc, list_sort(list(y0 / 300.0)) AS t, list_sort(list(y1 / 300.0)) AS b FROM p WHERE length(text) > 30 GROUP BY doc),
+e AS (SELECT doc, CASE WHEN len(t) >= 20 THEN t[len(t) // 50 + 1] ELSE 0.08 END AS top, CASE WHEN len(t) >= 20 THEN b[len(b) - len(b) // 50] ELSE 0.92 END AS bottom FROM r),
+c AS (SELECT p.doc, page, para, regexp_replace(text, '[^\p{L}]', '', 'g') AS k FROM p LEFT JOIN e USING (doc) WHERE length(trim(text)) <= 60 AND (y1 <= 300 * coalesce(top, 0.08) + 5 OR y0 >= 300 * coalesce(bottom, 0.92) - 5 OR y0 < 300 * 0.08 OR y0 > 300 * 0.92)),
+g AS (SELECT doc, page, para, unnest(list_distinct(CASE WHEN length(k) >= 4 THEN [substr(k, i, 4) FOR i IN range(1, length(k) - 2)] WHEN k <> '' THEN [k] ELSE [] END)) AS g FROM c),
+o AS (SELECT doc, g FROM g GROUP BY doc, g HAVING count(DISTINCT page) >= 3),
+n AS (SELECT c.doc, c.page, c.para, count(g.g) AS n, count(o.g) AS hits FROM c LEFT JOIN g ON g.doc = c.doc AND g.page = c.page AND g.para = c.para LEFT JOIN o ON o.doc = g.doc AND o.g = g.g GROUP BY ALL)
+SELECT doc, CAST(page AS BIGINT) AS page, para FROM n WHERE n = 0 OR hits >= 0.6 * n""")
+def page_furniture(spark, sf_dir):
+    """Running heads and page numbers of every page range, its lines set on pages of thirty."""
+    l = lines.lines_of(_read(spark, sf_dir, "md").where("kind = 'pdf' and content is not null"), ["md_id"], "content").where("trim(line) <> ''")
+    at = (F.col("line_no") - 1) % 30 * 10.0
+    p = l.select(F.col("md_id").alias("doc"), (F.floor((F.col("line_no") - 1) / 30) + 1).cast("int").alias("page"), F.col("line_no").alias("para"), at.alias("y0"), (at + 10).alias("y1"), F.lit(10.0).alias("size"), F.col("line").alias("text"), F.lit(300.0).alias("height"), F.lit(False).alias("edge"))
+    return layout.furniture(p)
+
+
+@query()
+def html_to_markdown(spark, sf_dir):
+    """Every EPUB-like text, as if it were HTML, as Markdown."""
+    from quire.sources.books import documents_to_markdown
+
+    m = _read(spark, sf_dir, "md").where("kind = 'epub'").select(F.col("md_id").cast("string").alias("path"), F.col("doc_no"), F.lit(None).cast("string").alias("lead"), F.lit(None).cast("int").alias("depth"), F.col("content").alias("html"), F.lit(None).cast("array<struct<fragment:string,title:string,depth:int>>").alias("toc"), F.lit(None).cast("string").alias("error"))
+    return documents_to_markdown(m)
+
+
 # ---- catalogue
 
 
@@ -344,6 +381,26 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.delivered_once(_read(spark, sf_dir, "activity"))
 
 
+@query("SELECT book_id FROM books WHERE status IN ('raw', 'converted')")
+def books_to_process(spark, sf_dir):
+    return catalog.to_process(_read(spark, sf_dir, "books")).select("book_id")
+
+
+@query("SELECT book_id FROM books WHERE status = 'raw' OR coalesce(epub_path, '') <> '' OR coalesce(pdf_path, '') <> ''")
+def convert_targets(spark, sf_dir):
+    """What a forced conversion takes."""
+    return catalog.to_convert(_read(spark, sf_dir, "books"), force=True).select("book_id")
+
+
+@query("""WITH b AS (SELECT book_id, CASE WHEN coalesce(series, '') <> '' THEN 'law/' || series ELSE 'law' END AS folder, unnest([{'field': 'epub_path', 'source': epub_path}, {'field': 'pdf_path', 'source': pdf_path}, {'field': 'md_path', 'source': md_path}]) AS m FROM books),
+t AS (SELECT book_id, m.field AS field, m.source AS source, folder || '/' || regexp_extract(m.source, '([^/]*)$', 1) AS target FROM b WHERE m.source <> '')
+SELECT * FROM t WHERE source <> target AND source IN (SELECT epub_path FROM books)""")
+def reclassify_moves(spark, sf_dir):
+    """The moves if every book went to one category and only EPUB files existed."""
+    b = _read(spark, sf_dir, "books")
+    return files.move_plan(b, F.lit("law"), F.col("series"), b.select("epub_path").where("epub_path is not null"))
+
+
 @query(f"SELECT log_id, ts, action, book_id FROM {_LOG} ORDER BY ts DESC, log_id DESC LIMIT 50")
 def activity_tail(spark, sf_dir):
     """The last fifty entries of the log."""
