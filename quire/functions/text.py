@@ -68,7 +68,11 @@ def match_key(c: Column) -> Column:
 
 def grams(key: Column, n: int) -> Column:
     """All n-grams of a key in order; a shorter key is its own only gram, an empty one has none."""
-    each = F.transform(F.sequence(F.lit(1), F.length(key) - (n - 1)), lambda i: F.substring(key, i, F.lit(n)))
+    chars = F.split(key, "")
+    each = chars
+    for j in range(1, n):  # arrays side by side: a substring for each place would walk the text each time
+        each = F.zip_with(each, F.slice(chars, j + 1, F.greatest(F.length(key), F.lit(1))), lambda x, y: F.concat(x, y))
+    each = F.slice(each, 1, F.greatest(F.length(key) - (n - 1), F.lit(1)))
     return F.when(F.length(key) >= n, each).when(F.length(key) > 0, F.array(key)).otherwise(F.array().cast("array<string>"))
 
 

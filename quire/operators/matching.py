@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import gestalt_ratio, grams, match_key
+from quire.session import materialize
 from quire.operators.rows import descending, numbered
 
 #: How a cosine is scaled before it counts as much as a title, results of a query, and the least score.
@@ -21,11 +22,11 @@ def card_grams(cards: DataFrame, key: str, text: Column) -> DataFrame:
     return k.select(key, F.explode(grams(F.col("k"), 2)).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("tf"))
 
 
-def match_cards(cards: DataFrame, book: str, key: str = "card_id", titles: Column | None = None, top_n: int = TOP, least: float = LEAST) -> DataFrame:
+def match_cards(cards: DataFrame, book: str, key: str = "card_id", titles: Column | None = None, queries: Column | None = None, top_n: int = TOP, least: float = LEAST) -> DataFrame:
     """(query, candidate, score, title_part, cosine, place): for each card of a book the best cards of
     other books.
 
-    ``cards`` has key, title, definition, quote, sources. The corpus is every card that doesn't name
+    ``queries`` chooses which of the book's cards are asked about; without it all are. ``cards`` has key, title, definition, quote, sources. The corpus is every card that doesn't name
     the book as a source; frequencies are taken from it alone, and a bigram it lacks gets the weight
     of one that its whole vocabulary would. The score is half the title's and half the cosine's,
     which is scaled and capped. Candidates below ``least`` are dropped; the rest are ranked by the
@@ -33,9 +34,11 @@ def match_cards(cards: DataFrame, book: str, key: str = "card_id", titles: Colum
     """
     t = titles if titles is not None else F.col("title")
     own = F.coalesce(F.array_contains("sources", book), F.lit(False))
-    base = cards.select(key, own.alias("own"), match_key(F.coalesce(t, F.lit(""))).alias("t"), F.concat_ws(" ", t, "definition", "quote").alias("text"))
+    base = materialize(cards.select(key, own.alias("own"), match_key(F.coalesce(t, F.lit(""))).alias("t"), F.concat_ws(" ", t, "definition", "quote").alias("text")), "cards")
     corpus, asked = base.where("not own"), base.where("own")
-    tf, qf = card_grams(corpus, key, F.col("text")), card_grams(asked, key, F.col("text"))
+    if queries is not None:
+        asked = asked.where(queries)
+    tf, qf = materialize(card_grams(corpus, key, F.col("text")), "grams"), materialize(card_grams(asked, key, F.col("text")), "asked")
     size = corpus.agg(F.count("*").alias("n"))
     df = tf.groupBy("gram").agg(F.count("*").alias("df")).join(size).select("gram", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
     rest = df.agg((F.log(F.count("*") + 1) + 1).alias("unseen"))
