@@ -78,3 +78,75 @@ def test_copies_nulls_and_empties(spark):
 
 def test_empty_sets(spark):
     assert similar_pairs(spark.createDataFrame([(1, [])], "id long, tokens array<bigint>"), 0.5).count() == 0
+
+
+def _packed(sets, t):
+    """The index entries of sets as ``similar_pairs`` makes them: keys, records, places, sizes, sketches."""
+    import pandas as pd
+    import pyarrow as pa
+
+    from quire.llm.neardup import GROUPS, _entries, learn, sketch
+
+    tokens = pa.array([np.asarray(s, np.int64) for s in sets], pa.list_(pa.int64()))
+    count, group = learn(tokens)
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(np.arange(len(sets))), "tokens": tokens})
+    out = []
+    for first, last in ((0, 5), (5, GROUPS)):  # two rounds
+        for b in _entries(t, count, group, first, last, 1)([batch]):
+            assert b.num_rows == 1
+            x = {c: np.frombuffer(b.column(c)[0].as_buffer(), k) for c, k in (("key", np.uint64), ("rec", np.int32), ("pos", np.int32), ("ids", np.int64), ("n", np.int32), ("bits", np.uint64))}
+            out.append((x["key"], x["ids"][x["rec"]], x["pos"]))
+    key, rec, pos = (np.concatenate(c) for c in zip(*out))
+    return key, rec, pos, np.array([len(s) for s in sets]), sketch(pd.Series([np.asarray(s, np.int64) for s in sets]))
+
+
+def _made_sets(n, seed):
+    """Sets of all sizes of few, frequent elements, some near to others, some parts of others."""
+    rng = np.random.default_rng(seed)
+    words, p = rng.integers(-(1 << 62), 1 << 62, 400), 1 / np.arange(1, 401) ** 0.7
+    out = []
+    while len(out) < n:
+        base = rng.choice(words, rng.integers(1, 90), replace=False, p=p / p.sum())
+        out.append(base)
+        for _ in range(rng.integers(0, 4)):
+            part = base[rng.random(len(base)) < rng.uniform(0.5, 1)]
+            new = rng.choice(words, rng.integers(0, 1 + len(base) // 3), replace=False)
+            out.append(np.append(part, new))
+    return [np.unique(s) for s in out if len(s)][:n]
+
+
+def test_lists_over_two_elements_lose_nothing(monkeypatch):
+    from quire.llm import neardup
+
+    sets = _made_sets(700, 11)
+    for t in (0.5, 0.8):
+        want = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if len(np.intersect1d(sets[a], sets[b])) >= t * len(np.union1d(sets[a], sets[b]))}
+        assert len(want) > 50
+        entries = _packed(sets, t)
+        for long, chunk in ((2048, 1 << 20), (20, 100)):
+            monkeypatch.setattr(neardup, "LONG", long)
+            monkeypatch.setattr(neardup, "CHUNK", chunk)
+            got = neardup.lists_links(*entries, t)
+            assert want <= set(map(tuple, got.T.tolist()))
+
+
+def test_frequent_elements_dont_meet_in_long_lists():
+    """The lists over two elements are a small part of those over one; on tables a tenfold as large, lists over one took a tenfold time a record."""
+    rng = np.random.default_rng(2)
+    words, p = rng.integers(-(1 << 62), 1 << 62, 3000), 1 / np.arange(1, 3001) ** 0.5
+    sets = [np.unique(rng.choice(words, 75, replace=False, p=p / p.sum())) for _ in range(1500)]
+    key = _packed(sets, 0.5)[0]
+    two = np.unique(key, return_counts=True)[1].astype(float)
+    df = dict(zip(*np.unique(np.concatenate(sets), return_counts=True)))
+    one = np.unique(np.concatenate([sorted(s, key=lambda x: (df[x], x))[: len(s) - -(-len(s) // 2) + 1] for s in sets]), return_counts=True)[1].astype(float)
+    assert (two * (two - 1)).sum() < 0.1 * (one * (one - 1)).sum()
+
+
+def test_rounds(spark, monkeypatch):
+    """Lists made in several rounds give the same pairs."""
+    from quire.llm import neardup
+
+    sets = spark.createDataFrame([(i, s.tolist()) for i, s in enumerate(_made_sets(150, 4))], "id long, tokens array<bigint>")
+    once = sorted(map(tuple, similar_pairs(sets, 0.5).collect()))
+    monkeypatch.setattr(neardup, "ROUND", 60)
+    assert len(once) > 20 and sorted(map(tuple, similar_pairs(sets, 0.5).collect())) == once
