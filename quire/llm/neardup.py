@@ -13,6 +13,7 @@ link is lost; every link is then checked on the sets themselves.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +34,10 @@ GROUPS = 16
 SAMPLE, SEEN = 20_000, 18
 #: Elements, and records, from which it is learned which elements come together.
 TOGETHER = (1500, 8000)
-#: Entries of a task's index lists, pairs of entries compared at once, records whose lists are made in one round.
-TASK, CHUNK, ROUND = 2_000_000, 1 << 20, 2_000_000
+#: Entries of a task's index lists, and pairs of entries compared at once.
+TASK, CHUNK = 2_000_000, 1 << 20
+#: Records of which a round makes all lists, and the most rounds.
+ROUND, ROUNDS = 300_000, 8
 #: Entries from which a list is compared by blocks and leaders.
 LONG = 2048
 #: Bits of a key's sort value that hold the size.
@@ -338,6 +341,24 @@ def _links(t: float):
     return run
 
 
+def _only(sets: DataFrame, ids: DataFrame, total: int) -> DataFrame:
+    """The rows of ``sets`` whose id is among ``ids``, and some more: a bit a hash stands for the ids, in 8 MB at most."""
+    size = 1 << min(26, max(16, (8 * total).bit_length()))
+    bit = F.pmod(F.xxhash64("id"), F.lit(size))
+    words = ids.select(F.shiftright(bit, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {size}) & 63 AS int))").alias("m"))
+    got = words.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
+    marks = np.zeros(size >> 6, np.uint64)
+    marks[got.column("w").to_numpy()] = got.column("m").to_numpy().view(np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column("bit").to_numpy()
+            keep = (marks[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
+            yield b.filter(pa.array(keep.astype(bool))).select(["id", "tokens"])
+
+    return sets.select("id", "tokens", bit.alias("bit")).mapInArrow(run, "id bigint, tokens array<bigint>")
+
+
 def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     """(a, b, shared, n_a, n_b), a < b: all pairs of different sets with Jaccard similarity of at
     least ``threshold``. ``sets`` has (id, tokens): unique ids and arrays of distinct longs; empty
@@ -350,7 +371,7 @@ def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     total = sets.count()
     some = sets.where(F.pmod(F.xxhash64("id"), F.lit(max(1, total // SAMPLE))) == 0).select("id", "tokens").toArrow().sort_by("id")
     count, group = learn(some.column("tokens").combine_chunks())
-    rounds = min(GROUPS, max(1, -(-total // ROUND)))
+    rounds = min(ROUNDS, max(1, -(-total // ROUND)))
     edges = [GROUPS * k // rounds for k in range(rounds + 1)]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * 100 // rounds // TASK))
     schema = "bucket int, " + ", ".join(f"{c} binary" for c in ("key", "rec", "pos", "ids", "n", "bits"))
@@ -360,9 +381,12 @@ def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
         got = entries.groupBy("bucket").applyInArrow(_links(threshold), "a bigint, b bigint").distinct()
         if rounds > 1:
             got = materialize(got, "candidates")
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()  # else a round's shuffle files stay while the next writes its own
         cand = got if cand is None else cand.unionByName(got)
     if rounds > 1:
         cand = cand.distinct()
+        sets = materialize(_only(sets, cand.select(F.explode(F.array("a", "b")).alias("id")), total), "linked")
     x = sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta"))
     y = sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
     return (
