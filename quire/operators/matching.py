@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from itertools import batched
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import gestalt_ratio, grams, match_key
 from quire.session import materialize
+from quire.operators import cardindex
 from quire.operators.rows import descending, numbered
 
 #: How a cosine is scaled before it counts as much as a title, results of a query, and the least score.
 TEXT_SCALE, TOP, LEAST = 4.0, 5, 0.3
+#: Cards of the corpus indexed at once, at most, and where it isn't worth to part them further; cards asked about at once.
+PART, SMALL, BLOCK = 32768, 4096, 65536
 
 
 def card_grams(cards: DataFrame, key: str, text: Column) -> DataFrame:
@@ -30,45 +40,76 @@ def match_cards(cards: DataFrame, book: str, key: str = "card_id", titles: Colum
     the book as a source; frequencies are taken from it alone, and a bigram it lacks gets the weight
     of one that its whole vocabulary would. The score is half the title's and half the cosine's,
     which is scaled and capped. Candidates below ``least`` are dropped; the rest are ranked by the
-    score to three places, then by key. Pairs meet on their bigrams; the query side is one book.
+    score to three places, then by key. No table of pairs is made: the book's cards are sent in
+    blocks to each part of the corpus, which is indexed there (``cardindex``), and only the best of
+    each part come out.
     """
     t = titles if titles is not None else F.col("title")
     own = F.coalesce(F.array_contains("sources", book), F.lit(False))
-    base = materialize(cards.select(key, own.alias("own"), match_key(F.coalesce(t, F.lit(""))).alias("t"), F.concat_ws(" ", t, "definition", "quote").alias("text")), "cards")
+    text = F.concat_ws(" ", t, "definition", "quote")
+    base = materialize(cards.select(key, own.alias("own"), match_key(F.coalesce(t, F.lit(""))).alias("t"), match_key(F.coalesce(text, F.lit(""))).alias("k")), "cards")
     corpus, asked = base.where("not own"), base.where("own")
     if queries is not None:
         asked = asked.where(queries)
-    tf, qf = materialize(card_grams(corpus, key, F.col("text")), "grams"), materialize(card_grams(asked, key, F.col("text")), "asked")
-    size = corpus.agg(F.count("*").alias("n"))
-    df = tf.groupBy("gram").agg(F.count("*").alias("df")).join(size).select("gram", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    rest = df.agg((F.log(F.count("*") + 1) + 1).alias("unseen"))
-    weigh = lambda x: x.select(key, "gram", (F.col("tf") * F.col("w")).alias("w"))
-    c = weigh(tf.join(df.withColumnRenamed("idf", "w"), "gram"))
-    q = weigh(qf.join(df, "gram", "left").join(rest).withColumn("w", F.coalesce("idf", "unseen")))
-    norm = lambda x: x.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dot = q.select(F.col(key).alias("query"), "gram", F.col("w").alias("qw")).join(c.select(F.col(key).alias("candidate"), "gram", F.col("w").alias("cw")), "gram").groupBy("query", "candidate").agg(F.sum(F.col("qw") * F.col("cw")).alias("dot"))
-    # titles too are compared where they share a bigram; a single character counts as one
-    by = lambda x, name: x.select(F.col(key).alias(name), F.explode(F.array_distinct(grams(F.col("t"), 2))).alias("gram"))
-    shared = by(asked, "query").join(by(corpus, "candidate"), "gram").join(df, "gram", "left").groupBy("query", "candidate").agg(F.sum(F.coalesce("idf", F.lit(1.0))).alias("shared"))
-    mass = lambda x: by(x, key).join(df, "gram", "left").groupBy(key).agg(F.sum(F.coalesce("idf", F.lit(1.0))).alias("mass"))
-    side = lambda x, name, n: x.join(norm(n), key, "left").join(mass(x), key, "left").select(F.col(key).alias(name), F.col("t").alias(f"{name}_t"), F.coalesce("norm", F.lit(1.0)).alias(f"{name}_norm"), F.coalesce("mass", F.lit(0.0)).alias(f"{name}_mass"))
-    got = dot.join(shared, ["query", "candidate"], "full_outer").join(side(asked, "query", q), "query").join(side(corpus, "candidate", c), "candidate")
-    a, b = F.col("query_t"), F.col("candidate_t")
-    la, lb = F.length(a), F.length(b)
-    held = F.when(la <= lb, b.contains(a)).otherwise(a.contains(b))
-    title = (
-        F.when((la == 0) | (lb == 0), 0.0)
-        .when(a == b, 1.0)
-        .when((F.least(la, lb) >= 2) & held, 0.5 + 0.5 * F.least(la, lb) / F.greatest(la, lb))
-        .otherwise(2 * F.coalesce("shared", F.lit(0.0)) / (F.col("query_mass") + F.col("candidate_mass")))
-    )
-    cosine = F.coalesce(F.col("dot") / (F.col("query_norm") * F.col("candidate_norm")), F.lit(0.0))
-    scored = got.select("query", "candidate", title.alias("title_part"), cosine.alias("cosine")).withColumn("score", 0.5 * F.col("title_part") + 0.5 * F.least(F.lit(1.0), TEXT_SCALE * F.col("cosine")))
-    scored = scored.where(F.col("score") >= least).withColumn("shown", F.round("score", 3))
-    ranked = numbered(scored, ["query"], [F.col("shown").desc(), F.col("candidate")], "place")
+    counted = corpus.select("k").mapInArrow(_frequencies, "gram bigint, df bigint").groupBy("gram").agg(F.sum("df").alias("df")).toArrow()
+    codes, df = (counted[c].to_numpy() for c in ("gram", "df"))
+    n = int(df[codes < 0].sum())
+    order = np.argsort(codes)[int((codes < 0).sum()) :]
+    weights = cardindex.Weights(codes[order], df[order], n)
+    spark = cards.sparkSession
+    parts = max(1, -(-n // PART), min(spark.sparkContext.defaultParallelism, -(-n // SMALL)))
+    split = corpus.select(key, "t", "k").repartition(parts, key)
+    blocks = max(1, -(-asked.count() // BLOCK))
+    kind = base.schema[key].dataType.simpleString()
+    found = [split.mapInArrow(_matcher(_asked(asked.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == i), key, weights), top_n, least), f"query {kind}, candidate {kind}, score double, title_part double, cosine double, shown double") for i in range(blocks)]
+    ranked = numbered(reduce(DataFrame.unionAll, found), ["query"], [F.col("shown").desc(), F.col("candidate")], "place")
     return ranked.where(F.col("place") <= top_n).select("query", "candidate", "score", "title_part", "cosine", "place")
 
 
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, df) of a part of the texts; their number stands under -1."""
+    n, grams, df = 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for b in batches:
+        n += b.num_rows
+        g, c = np.unique(cardindex.gram_counts(b.column(0).to_pylist())[1], return_counts=True)
+        both = np.concatenate((grams, g))
+        grams, at = np.unique(both, return_inverse=True)
+        df = np.bincount(at, np.concatenate((df, c)), len(grams)).astype(np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(grams, -1)), pa.array(np.append(df, n))], ["gram", "df"])
+
+
+def _asked(asked: DataFrame, key: str, weights: cardindex.Weights):
+    """The cards asked about, sent to all tasks: their keys, vectors and titles."""
+    got = asked.select(key, "t", "k").toArrow()
+    distinct, at, of = cardindex.by_title(got["t"].to_pylist())
+    block = got[key].combine_chunks(), cardindex.Vectors(got["k"].to_pylist(), weights), cardindex.Titles(distinct, weights), at, of, weights
+    return asked.sparkSession.sparkContext.broadcast(block)
+
+
+def _matcher(sent, top_n: int, least: float):
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = list(batches)
+        keys, vectors, titles, at, of, weights = sent.value
+        if not rows or not len(keys):
+            return
+        part = pa.Table.from_batches(rows)
+        part = part.take(pc.sort_indices(part.column(0)))
+        names = part.column(0).combine_chunks()
+        index = cardindex.CardIndex(part.column(1).to_pylist(), part.column(2).to_pylist(), weights, TEXT_SCALE, top_n, least)
+        del rows, part
+
+        def out(some: list) -> pa.RecordBatch:
+            q = pa.array(np.repeat([x for x, _ in some], [len(x[0]) for _, x in some]))
+            c, *values = (np.concatenate([x[j] for _, x in some]) for j in range(5))
+            score, title, cosine, shown = values
+            return pa.RecordBatch.from_arrays([keys.take(q), names.take(pa.array(c)), *map(pa.array, (score, title, cosine, shown))], ["query", "candidate", "score", "title_part", "cosine", "shown"])
+
+        for some in batched(index.search(vectors, titles, at, of), 4096):
+            yield out(some)
+
+    return match
+
+
 def stale_review(stale: DataFrame, new: DataFrame, key: str, title: str, n: int = 3) -> DataFrame:
     """(stale, candidate, score, place): for each card no longer produced, the new cards of the same
     book most like it, by the better of the definitions' and the quotations' ratio.
