@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from itertools import batched
+from itertools import batched, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -12,15 +12,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.text import gestalt_ratio, grams, match_key
+from quire.functions.text import grams, match_key
 from quire.session import materialize
-from quire.operators import cardindex
+from quire.operators import cardindex, gestalt
 from quire.operators.rows import descending, numbered
 
 #: How a cosine is scaled before it counts as much as a title, results of a query, and the least score.
 TEXT_SCALE, TOP, LEAST = 4.0, 5, 0.3
 #: Cards of the corpus indexed at once, at most, and where it isn't worth to part them further; cards asked about at once.
 PART, SMALL, BLOCK = 32768, 4096, 65536
+#: New cards compared at once, at most; stale cards that are worth a task of their own, and tasks of a book.
+NEW, STALE, TASKS = 8192, 8, 32
 
 
 def card_grams(cards: DataFrame, key: str, text: Column) -> DataFrame:
@@ -114,11 +116,52 @@ def stale_review(stale: DataFrame, new: DataFrame, key: str, title: str, n: int
     """(stale, candidate, score, place): for each card no longer produced, the new cards of the same
     book most like it, by the better of the definitions' and the quotations' ratio.
 
-    Both sides have (key, title, book_id, definition, quote). They meet on the book, which holds few
-    cards of one run. Nulls count as empty; two empty texts aren't alike.
+    Both sides have (key, title, book_id, definition, quote). Nulls count as empty; two empty texts
+    aren't alike. They meet on the book; a large book is parted on both sides. In a part the ratio is
+    computed only where its bound reaches the best so far (``gestalt``), so the result is that of all
+    pairs.
     """
-    a = stale.select(F.col(key).alias("stale"), "book_id", F.coalesce("definition", F.lit("")).alias("d1"), F.coalesce("quote", F.lit("")).alias("q1"))
-    b = new.select(F.col(key).alias("candidate"), F.col(title).alias("__t"), "book_id", F.coalesce("definition", F.lit("")).alias("d2"), F.coalesce("quote", F.lit("")).alias("q2"))
-    r = lambda x, y: F.when((F.col(x) == "") & (F.col(y) == ""), 0.0).otherwise(gestalt_ratio(F.col(x), F.col(y)))
-    got = a.join(b, "book_id").withColumn("score", F.greatest(r("d1", "d2"), r("q1", "q2")))
+    side = lambda x, name: x.select("book_id", F.col(name).alias("__k"), F.col(title).alias("__t"), F.coalesce("definition", F.lit("")).alias("d"), F.coalesce("quote", F.lit("")).alias("q"))
+    a, b = side(stale, key), side(new, key)
+    sizes = a.groupBy("book_id").agg(F.count("*").alias("a")).join(b.groupBy("book_id").agg(F.count("*").alias("b")), "book_id")
+    sizes = sizes.withColumn("parts", F.ceil(F.col("b") / NEW))
+    sizes = sizes.select("book_id", "parts", F.least(F.ceil(F.col("a") / STALE), F.ceil(TASKS / F.col("parts"))).alias("blocks"))
+    part = lambda n: F.pmod(F.xxhash64("__k"), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    both = a.join(sizes, "book_id").select("book_id", each("parts").alias("part"), part("blocks").alias("block"), F.lit(0).alias("new"), "__t", "__k", "d", "q")
+    both = both.unionAll(b.join(sizes, "book_id").select("book_id", part("parts").alias("part"), each("blocks").alias("block"), F.lit(1).alias("new"), "__t", "__k", "d", "q"))
+    met = ["book_id", "part", "block"]
+    kind = stale.schema[key].dataType.simpleString()
+    tasks = 8 * stale.sparkSession.sparkContext.defaultParallelism
+    got = both.repartition(tasks, *met).sortWithinPartitions(*met, "new", "__t", "__k").mapInArrow(_most_alike(n), f"stale {kind}, candidate {kind}, __t string, score double")
     return numbered(got, ["stale"], [descending(F.col("score")), F.col("__t"), F.col("candidate")], "place").where(F.col("place") <= n).select("stale", "candidate", "score", "place")
+
+
+def _most_alike(n: int):
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.null()
+
+        def rows():
+            nonlocal kind
+            for b in batches:
+                kind = b.schema.field("__k").type
+                yield from zip(*(b.column(i).to_pylist() for i in range(b.num_columns)))
+
+        def found():
+            for _, some in groupby(rows(), lambda r: r[:3]):
+                asked = []
+                for is_new, group in groupby(some, lambda r: r[3]):
+                    if not is_new:
+                        asked = list(group)
+                    elif asked:
+                        new = list(group)
+                        fields = gestalt.Texts([r[6] for r in new]), gestalt.Texts([r[7] for r in new])
+                        for s in asked:
+                            for score, i in gestalt.most_alike(s[6:], fields, n):
+                                yield s[5], new[i][5], new[i][4], score
+
+        for some in batched(found(), 4096):
+            stale, candidate, t, score = zip(*some)
+            yield pa.RecordBatch.from_arrays([pa.array(stale, kind), pa.array(candidate, kind), pa.array(t, pa.string()), pa.array(score, pa.float64())], ["stale", "candidate", "__t", "score"])
+
+    return match

@@ -1,5 +1,6 @@
 """Matching of cards: every card of the book is asked about, and no way to the best leaves one out."""
 
+import difflib
 import math
 import random
 from collections import Counter
@@ -8,7 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from quire.operators import cardindex, matching
+from quire.operators import cardindex, gestalt, matching
 from quire.queries import ORACLES, QUERIES
 
 CARD = "card_id long, title string, definition string, quote string, sources array<string>"
@@ -91,3 +92,50 @@ def test_no_table_of_pairs_is_made(spark, tmp_path, monkeypatch):
     assert len({r[0] for r in same_as_sql(spark, tmp_path, rows)}) > 5
     plan = QUERIES["concept_match_topn"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan
+
+
+def _ratio(a, b):
+    return difflib.SequenceMatcher(None, a, b).ratio() if a and b else 0.0
+
+
+@pytest.mark.parametrize("few", [0, 2, 24])
+def test_most_alike_are_those_of_difflib(monkeypatch, few):
+    """Texts on both sides of the length from which difflib leaves characters out, with copies, shared
+    beginnings, empty ones and two scripts."""
+    monkeypatch.setattr(gestalt, "FEW", few)
+    rng = random.Random(few)
+    words = [["harbour", "quiet", "7", "tide,", "Zeal", "in", "of", "a"], ["潮汐", "港口", "。", "安靜", "7", "的"]]
+
+    def text():
+        w = rng.choice(words)
+        return " ".join(rng.choice(w) for _ in range(rng.choice([0, 3, 20, 60, 90])))
+
+    new = [(text(), text()) for _ in range(60)]
+    new += [(x[:150] + text(), y) for x, y in new[:20]] + new[:4]
+    fields = tuple(gestalt.Texts([x[k] for x in new]) for k in range(2))
+    for a in [(text(), text()) for _ in range(20)] + [new[3], (new[5][0], ""), ("", "")]:
+        score = [max(_ratio(a[0], x[0]), _ratio(a[1], x[1])) for x in new]
+        assert gestalt.most_alike(a, fields, 3) == sorted(((s, i) for i, s in enumerate(score)), key=lambda x: (-x[0], x[1]))[:3]
+        for k, field in enumerate(fields):
+            low = field.bounds(a[k])
+            assert all(x <= y for x, y in zip((_ratio(a[k], x[k]) for x in new), field.closer(a[k], low)))
+            assert [field.ratio(a[k], i) for i in range(len(new))] == [_ratio(a[k], x[k]) for x in new]
+
+
+def test_stale_cards_meet_all_new_cards_of_their_book_and_few_ratios_are_computed(spark, monkeypatch):
+    """Parted on both sides, with a null and equal titles; the plan compares no pair of the whole book."""
+    for name, x in (("NEW", 16), ("STALE", 2), ("TASKS", 6)):
+        monkeypatch.setattr(matching, name, x)
+    rng = random.Random(9)
+    text = lambda: " ".join(rng.choice(["harbour", "quiet", "tide", "Zeal", "of", "7"]) for _ in range(rng.choice([0, 4, 30, 50]))) or None
+    rows = [(i, rng.choice(["x", "y", None]), rng.choice(["b", "b", "c", None]), text(), text()) for i in range(130)]
+    make = lambda x: spark.createDataFrame(x, "card_id long, title string, book_id string, definition string, quote string")
+    df = matching.stale_review(make(rows[:25]), make(rows[25:]), "card_id", "title")
+    got = sorted(map(tuple, df.select("stale", "place", "candidate", "score").collect()))
+    want = []
+    for s in rows[:25]:
+        near = [(-max(_ratio(s[3] or "", n[3] or ""), _ratio(s[4] or "", n[4] or "")), n[1] or "", n[0]) for n in rows[25:] if s[2] and n[2] == s[2]]
+        want += [(s[0], p + 1, n[2], -n[0]) for p, n in enumerate(sorted(near)[:3])]
+    assert got == sorted(want)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "_ratio" not in plan
