@@ -126,7 +126,7 @@ def stale_review(stale: DataFrame, new: DataFrame, key: str, title: str, n: int
     sizes = a.groupBy("book_id").agg(F.count("*").alias("a")).join(b.groupBy("book_id").agg(F.count("*").alias("b")), "book_id")
     sizes = sizes.withColumn("parts", F.ceil(F.col("b") / NEW))
     sizes = sizes.select("book_id", "parts", F.least(F.ceil(F.col("a") / STALE), F.ceil(TASKS / F.col("parts"))).alias("blocks"))
-    part = lambda n: F.pmod(F.xxhash64("__k"), F.col(n))
+    part = lambda n: F.pmod(F.xxhash64("d", "q"), F.col(n))  # noqa: E731 equal texts meet, and count once
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
     both = a.join(sizes, "book_id").select("book_id", each("parts").alias("part"), part("blocks").alias("block"), F.lit(0).alias("new"), "__t", "__k", "d", "q")
     both = both.unionAll(b.join(sizes, "book_id").select("book_id", part("parts").alias("part"), each("blocks").alias("block"), F.lit(1).alias("new"), "__t", "__k", "d", "q"))
@@ -155,10 +155,17 @@ def _most_alike(n: int):
                         asked = list(group)
                     elif asked:
                         new = list(group)
-                        fields = gestalt.Texts([r[6] for r in new]), gestalt.Texts([r[7] for r in new])
+                        texts: dict[tuple[str, str], list[int]] = {}
+                        for i, r in enumerate(new):
+                            texts.setdefault(r[6:], []).append(i)
+                        of, done = list(texts.values()), {}
+                        fields = gestalt.Texts([d for d, _ in texts]), gestalt.Texts([q for _, q in texts])
                         for s in asked:
-                            for score, i in gestalt.most_alike(s[6:], fields, n):
-                                yield s[5], new[i][5], new[i][4], score
+                            if s[6:] not in done:
+                                best = [(-score, i) for score, u in gestalt.most_alike(s[6:], fields, n) for i in of[u][:n]]
+                                done[s[6:]] = sorted(best)[:n]
+                            for score, i in done[s[6:]]:
+                                yield s[5], new[i][5], new[i][4], -score
 
         for some in batched(found(), 4096):
             stale, candidate, t, score = zip(*some)

@@ -129,6 +129,8 @@ def test_stale_cards_meet_all_new_cards_of_their_book_and_few_ratios_are_compute
     rng = random.Random(9)
     text = lambda: " ".join(rng.choice(["harbour", "quiet", "tide", "Zeal", "of", "7"]) for _ in range(rng.choice([0, 4, 30, 50]))) or None
     rows = [(i, rng.choice(["x", "y", None]), rng.choice(["b", "b", "c", None]), text(), text()) for i in range(130)]
+    rows[20:24] = [(20 + i, *r[1:]) for i, r in enumerate(rows[:4])]  # copies on either side
+    rows[100:120] = [(100 + i, rng.choice(["x", "y"]), *r[2:]) for i, r in enumerate(rows[30:50])]
     make = lambda x: spark.createDataFrame(x, "card_id long, title string, book_id string, definition string, quote string")
     df = matching.stale_review(make(rows[:25]), make(rows[25:]), "card_id", "title")
     got = sorted(map(tuple, df.select("stale", "place", "candidate", "score").collect()))
